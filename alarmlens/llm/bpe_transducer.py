@@ -55,10 +55,14 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.states = {("", (-1,), (0,)): 0}
-        self.key = [("", (-1,), (0,))]
-        self.next: list[dict[str, tuple[int, int]]] = [{}]
-        self.final: list[dict[str, tuple[int, int]]] = [{}]
+        self.states: dict[tuple, State] = {}
+        self.start = self._state(("", (-1,), (0,)))
+
+    def _state(self, key: tuple) -> State:
+        state = self.states.get(key)
+        if state is None:
+            state = self.states[key] = State(self, key)
+        return state
 
     def _split(self, a: int, b: int) -> bool:
         """Whether a and b, side by side, stay two tokens."""
@@ -101,55 +105,70 @@ class Transducer:
             self._whole[token] = found
         return found
 
-    def _step(self, state: int, symbol: str) -> tuple[int, int]:
-        suffix, lasts, counts = key = self.key[state]
+    def step(self, key: tuple, symbol: str) -> tuple[State, int, int]:
+        """The state after one more symbol, the count's change and the last token."""
+        suffix, lasts, counts = key
         text = suffix + symbol
         token, change = self._last(text, key, self.plain)
         n = len(text)
         while n and text[-n:] not in self.prefixes:
             n -= 1
-        new = (text[-n:] if n else "", (token, *lasts[:n]), (0, *(c - change for c in counts[:n])))
-        to = self.states.get(new)
-        if to is None:
-            to = self.states[new] = len(self.key)
-            self.key.append(new)
-            self.next.append({})
-            self.final.append({})
-        self.next[state][symbol] = to, change
-        return to, change
+        return self._state((text[-n:] if n else "", (token, *lasts[:n]), (0, *(c - change for c in counts[:n])))), change, token
+
+    def end(self, key: tuple, symbol: str) -> tuple[int, int]:
+        return self._last(key[0] + symbol, key, self.ending)
+
+    def _begin(self) -> State:
+        if len(self.states) > MOST_STATES:
+            self._reset()
+        return self.start
 
     def count(self, piece: str) -> int:
         """Tokens of one piece (a word's symbols): the transitions' counts, summed."""
-        if len(self.key) > MOST_STATES:
-            self._reset()
-        state = n = 0
-        steps = self.next
+        state, n = self._begin(), 0
         for symbol in piece[:-1]:
-            got = steps[state].get(symbol) or self._step(state, symbol)
-            state = got[0]
-            n += got[1]
-        return n + self._end(state, piece[-1])[1]
-
-    def _end(self, state: int, symbol: str) -> tuple[int, int]:
-        got = self.final[state].get(symbol)
-        if got is None:
-            got = self.final[state][symbol] = self._last(self.key[state][0] + symbol, self.key[state], self.ending)
-        return got
+            state, change, _ = state[symbol]
+            n += change
+        return n + state.final[piece[-1]][1]
 
     def ids(self, piece: str) -> list[int]:
         """The tokens of one piece, from the last tokens of its prefixes."""
-        if len(self.key) > MOST_STATES:
-            self._reset()
-        state, steps, key, lasts = 0, self.next, self.key, []
+        state, lasts = self._begin(), []
         for symbol in piece[:-1]:
-            state = (steps[state].get(symbol) or self._step(state, symbol))[0]
-            lasts.append(key[state][1][0])
-        lasts.append(self._end(state, piece[-1])[0])
-        out, at, length = [], len(piece), self.length
+            state, _, token = state[symbol]
+            lasts.append(token)
+        token = state.final[piece[-1]][0]
+        at, length = len(piece) - self.length[token], self.length
+        out = [token]
         while at:
             out.append(token := lasts[at - 1])
             at -= length[token]
-        return out[::-1]
+        out.reverse()
+        return out
+
+
+class State(dict):
+    """Transitions by symbol, compiled when they are first taken; final has those of a word's last symbol."""
+
+    __slots__ = ("final", "key", "owner")
+
+    def __init__(self, owner: Transducer, key: tuple):
+        self.owner, self.key, self.final = owner, key, Final(owner, key)
+
+    def __missing__(self, symbol: str):
+        out = self[symbol] = self.owner.step(self.key, symbol)
+        return out
+
+
+class Final(dict):
+    __slots__ = ("key", "owner")
+
+    def __init__(self, owner: Transducer, key: tuple):
+        self.owner, self.key = owner, key
+
+    def __missing__(self, symbol: str):
+        out = self[symbol] = self.owner.end(self.key, symbol)
+        return out
 
 
 class WordEncoder:
@@ -164,29 +183,31 @@ class WordEncoder:
         self.special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.symbols = {b: c for b, c in enumerate(byte_symbols())}
 
+    def parts(self, word: bytes) -> list[str | int]:
+        """The word's pieces of symbols, and the ids of special tokens."""
+        text = word.decode("utf-8", "replace")
+        if text.isascii() and text.isalpha():
+            return [text.lower()]
+        if "<|" in text:
+            return [p for t in SPECIALS.split(text) if t for p in ([self.special[t]] if t in self.special else self.pieces(t))]
+        return self.pieces(text)
+
     def pieces(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text):
             found = PIECES.findall(text.lower())
             return found if text.isascii() else [p.encode().decode("latin-1").translate(self.symbols) for p in found]
         return [p for p, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text)) if p]
 
-    def parts(self, word: bytes) -> list[str]:
-        """The word's text between special tokens, and these."""
-        text = word.decode("utf-8", "replace")
-        return [p for p in SPECIALS.split(text) if p] if "<|" in text else [text]
-
     def count(self, word: bytes) -> int:
-        count = self.transducer.count
-        return sum(1 if p in self.special else sum(map(count, self.pieces(p))) for p in self.parts(word))
+        n, count = 0, self.transducer.count
+        for p in self.parts(word):
+            n += 1 if isinstance(p, int) else count(p)
+        return n
 
     def ids(self, word: bytes) -> list[int]:
         out: list[int] = []
         for p in self.parts(word):
-            if p in self.special:
-                out.append(self.special[p])
-            else:
-                for piece in self.pieces(p):
-                    out += self.transducer.ids(piece)
+            out += [p] if isinstance(p, int) else self.transducer.ids(p)
         return out
 
 

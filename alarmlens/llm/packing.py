@@ -8,6 +8,7 @@ fits into. A group's padding is at most that of its last few bins, so the groups
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -72,7 +73,7 @@ _memos: dict[str, Memo] = {}
 def _ids(path: str):
     if path not in _memos:
         ids = encoder(path).ids
-        _memos[path] = Memo(lambda word: np.array(ids(word), "<u4").tobytes(), 150_000)
+        _memos[path] = Memo(lambda word: array("I", ids(word)).tobytes(), 200_000)
     return _memos[path].__getitem__
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, token_counts
+from . import decontamination, language_id, packing, pii, token_counts, url_filters
 
 QUERIES = {
+    "op1_url_filters": url_filters.query,
     "op3_packing": packing.query,
+    "op5_pii": pii.query,
+    "op8_language_id": language_id.query,
     "op9_token_counts": token_counts.query,
     "op10_decontamination": decontamination.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_url_filters": url_filters.ORACLE}

@@ -75,3 +75,39 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], dict | None], schema: str, order: tuple = ()) -> DataFrame:
+    """Runs fn on the rows of each key, as a table, and yields the columns that it returns. Groups stream through a task one after the other; only one is held."""
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        held: list[pa.RecordBatch] = []
+        made: list[pa.RecordBatch] = []
+
+        def finish():
+            if held:
+                got = fn(pa.Table.from_batches(held))
+                if got is not None:
+                    made.append(pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out))
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.asarray(column(batch, key))
+            starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(starts, starts[1:]):
+                part = batch.slice(a, b - a)
+                if held and np.asarray(column(held[-1], key))[-1] != keys[a]:
+                    finish()
+                held.append(part)
+                if len(made) >= 256:
+                    yield pa.Table.from_batches(made).combine_chunks().to_batches()[0] if sum(x.num_rows for x in made) else made[0]
+                    made.clear()
+        finish()
+        yield from made
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, packing, pii, token_counts, url_filters
+from . import decontamination, language_id, near_duplicates, packing, pii, token_counts, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
+    "op2_near_duplicates": near_duplicates.query,
     "op3_packing": packing.query,
     "op5_pii": pii.query,
     "op8_language_id": language_id.query,

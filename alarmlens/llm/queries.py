@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, near_duplicates, packing, pii, substring_dedup, suffix_dedup, token_counts, url_filters
+from . import decontamination, language_id, media_avi, near_duplicates, packing, pii, substring_dedup, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
     "op2_near_duplicates": near_duplicates.query,
     "op3_packing": packing.query,
+    "op4_media_avi": media_avi.query,
     "op5_pii": pii.query,
     "op6_suffix_dedup": suffix_dedup.query,
     "op7_substring_dedup": substring_dedup.query,

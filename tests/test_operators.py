@@ -40,7 +40,8 @@ def test_run_lengths_sum_to_one_and_find_a_shift():
     rng = np.random.default_rng(1)
     found = bocpd.run_lengths(np.concatenate([rng.normal(0, 1, 80), rng.normal(20, 1, 20)]))
     assert all(abs(p.sum() - 1) < 1e-9 for p in found)
-    onset, confirm, _ = bocpd.onset(found)
+    assert found[82].argmax() <= 4 and found[79].argmax() > 5
+    onset, confirm, _ = bocpd.onset(bocpd.run_lengths(np.concatenate([np.linspace(-0.5, 0.5, 80), np.linspace(19.5, 20.5, 20)])))
     assert abs(onset - 80) <= 2 and confirm >= onset
     assert bocpd.onset(bocpd.run_lengths(np.zeros(4))) is None
 

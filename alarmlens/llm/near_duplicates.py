@@ -89,23 +89,35 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
     return common.map_columns(docs, [F.col("doc_id").cast("long").alias("doc_id"), "text"], make, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary")
 
 
-def _alike(members: pa.Table) -> dict | None:
-    """Of a node's members those whose sketch is near that of one in another component."""
+def _alike(members: pa.Table, percent: int) -> dict | None:
+    """A node's members in groups that their sketches and sizes may link across components; a group is named by its members.
+
+    The same group mostly comes from several trees; it is compared once.
+    """
     component = np.asarray(members["component"])
-    if len(component) < 2 or (component == component[0]).all():
+    m = len(component)
+    if m < 2 or (component == component[0]).all():
         return None
-    sketch = np.frombuffer(b"".join(members["sketch"].to_pylist()), np.int32).reshape(len(component), -1)
-    keep = np.zeros(len(component), bool)
-    for i in range(len(component)):
-        near = (sketch[i + 1 :] == sketch[i]).mean(axis=1) >= SKETCH_LEAST
-        near &= component[i + 1 :] != component[i]
+    sketch = np.frombuffer(b"".join(members["sketch"].to_pylist()), np.int32).reshape(m, -1)
+    sizes, ids = np.asarray(members["n_shingles"]), np.asarray(members["rep"])
+    group = np.arange(m)
+    for i in range(m - 1):
+        near = component[i + 1 :] != component[i]
+        near &= 100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i])
+        if not near.any():
+            continue
+        near &= (sketch[i + 1 :] == sketch[i]).mean(axis=1) >= SKETCH_LEAST
         if near.any():
-            keep[i] = True
-            keep[i + 1 :] |= near
-    if not keep.any():
+            group[np.isin(group, np.unique(group[np.concatenate([[i], i + 1 + np.flatnonzero(near)])]))] = group[i]
+    out = [[], []]
+    for g in np.flatnonzero(np.bincount(group) > 1):
+        at = np.flatnonzero(group == g)
+        out[0].append(at)
+        out[1].append(np.full(len(at), xxhash.xxh3_64_intdigest(np.unique(ids[at]).tobytes()), np.uint64).view(np.int64))
+    if not out[0]:
         return None
-    at = np.flatnonzero(keep)
-    return {c: members[c].take(at).combine_chunks() for c in ("node", "rep", "component", "d1")}
+    at = np.concatenate(out[0])
+    return {"node": np.concatenate(out[1])} | {c: members[c].take(at).combine_chunks() for c in ("rep", "component", "d1")}
 
 
 def joined_sets(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -157,9 +169,8 @@ def joined_sets(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray],
 
 def _nodes(reps: DataFrame, trees: range) -> DataFrame:
     """(node, rep, component) of the nodes that one task can compare, for these trees."""
-    values = F.expr("transform(sequence(0, {0} - 1), i -> hex(substring(sketch, 4 * i + 1, 4)))".format(len(SALTS)))
-    spread = reps.select("rep", "component", "n_shingles", "d1", values.alias("values"), F.explode(F.array(*map(F.lit, trees))).alias("tree"))
-    paths = [F.xxhash64("tree", F.array_join(F.slice("values", F.col("tree") * DEPTH + 1, d + 1), "")).alias(f"k{d}") for d in range(DEPTH)]
+    spread = reps.select("rep", "component", "n_shingles", "d1", "sketch", F.explode(F.array(*map(F.lit, trees))).alias("tree"))
+    paths = [F.xxhash64("tree", F.substring("sketch", 4 * DEPTH * F.col("tree") + 1, F.lit(4 * (d + 1)))).alias(f"k{d}") for d in range(DEPTH)]
     open_ = spread.select("rep", "component", "n_shingles", "d1", *paths)
     done = []
     for d in range(DEPTH):
@@ -193,8 +204,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _links(docs: DataFrame, reps: DataFrame, trees: range, size: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between vertices that these trees bring together."""
-    placed = _nodes(reps, trees).join(reps.select("rep", "sketch"), "rep")
-    near = common.checkpointed(common.map_groups(placed, "node", _alike, "node long, rep long, component long, d1 long"))
+    placed = _nodes(reps, trees).join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    near = common.map_groups(placed, "node", lambda members: _alike(members, percent), "node long, rep long, component long, d1 long")
+    near = common.checkpointed(near.dropDuplicates(["node", "rep"]))
     wanted = near.groupBy("rep", "d1").agg(F.collect_list(F.struct("node", "component")).alias("places"))
     if near.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 
 END = "</w>"
 #: The contractions and classes of the vocabulary file's own split pattern, for words of ASCII and Latin-1 letters.
@@ -34,7 +35,6 @@ class Transducer:
         far = self.far = len(ids)
         self.plain = {t: i for t, i in ids.items() if not t.endswith(END)}
         self.ending = {t[: -len(END)]: i for t, i in ids.items() if t.endswith(END)}
-        self.length = {i: len(t.removesuffix(END)) for t, i in ids.items()}
         self.rank: dict[tuple[int, int], int] = {}
         right: dict[int, list] = {}
         left: dict[int, list] = {}
@@ -131,21 +131,6 @@ class Transducer:
             n += change
         return n + state.final[piece[-1]][1]
 
-    def ids(self, piece: str) -> list[int]:
-        """The tokens of one piece, from the last tokens of its prefixes."""
-        state, lasts = self._begin(), []
-        for symbol in piece[:-1]:
-            state, _, token = state[symbol]
-            lasts.append(token)
-        token = state.final[piece[-1]][0]
-        at, length = len(piece) - self.length[token], self.length
-        out = [token]
-        while at:
-            out.append(token := lasts[at - 1])
-            at -= length[token]
-        out.reverse()
-        return out
-
 
 class State(dict):
     """Transitions by symbol, compiled when they are first taken; final has those of a word's last symbol."""
@@ -177,11 +162,17 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.transducer = Transducer(path)
+        self.path = path
         library = Tokenizer.from_file(path)
+        self.model = library.model
         self.normal, self.split = library.normalizer, library.pre_tokenizer
         self.special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.symbols = {b: c for b, c in enumerate(byte_symbols())}
+        self.piece_ids = Memo(lambda piece: [t.id for t in self.model.tokenize(piece)], 100_000)
+
+    @cached_property
+    def transducer(self) -> Transducer:
+        return Transducer(self.path)
 
     def parts(self, word: bytes) -> list[str | int]:
         """The word's pieces of symbols, and the ids of special tokens."""
@@ -205,9 +196,10 @@ class WordEncoder:
         return n
 
     def ids(self, word: bytes) -> list[int]:
+        """The word's ids, each piece's by the library's own model."""
         out: list[int] = []
         for p in self.parts(word):
-            out += [p] if isinstance(p, int) else self.transducer.ids(p)
+            out += [p] if isinstance(p, int) else self.piece_ids[p]
         return out
 
 

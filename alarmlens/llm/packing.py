@@ -73,7 +73,7 @@ _memos: dict[str, Memo] = {}
 def _ids(path: str):
     if path not in _memos:
         ids = encoder(path).ids
-        _memos[path] = Memo(lambda word: array("I", ids(word)).tobytes(), 200_000)
+        _memos[path] = Memo(lambda word: array("I", ids(word)).tobytes(), 400_000)
     return _memos[path].__getitem__
 
 

@@ -73,11 +73,11 @@ def bonferroni(rows: DataFrame, p: str) -> DataFrame:
 
 
 def benjamini_hochberg(rows: DataFrame, p: str) -> DataFrame:
-    """Adds q_value over non-null p values of one family, which is small."""
+    """Adds q_value over non-null p values of one family, which is small. Equal p values have equal q values."""
     good = rows.where(F.col(p).isNotNull())
     rank, m = F.row_number().over(Window.partitionBy().orderBy(p)), F.count(F.lit(1)).over(Window.partitionBy())
     raised = good.withColumn("raw", F.col(p) * m / rank)
-    return raised.withColumn("q_value", F.least(F.lit(1.0), F.min("raw").over(Window.partitionBy().orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)))).drop("raw")
+    return raised.withColumn("q_value", F.least(F.lit(1.0), F.min("raw").over(Window.partitionBy().orderBy(F.desc(p))))).drop("raw")
 
 
 def kendall_w(rows: DataFrame, rater: str, item: str, value: str) -> DataFrame:

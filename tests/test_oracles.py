@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import alarmlens.plans.studies  # noqa: F401  registers its queries
 from alarmlens.operators.catalogue import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.01"

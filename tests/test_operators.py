@@ -102,3 +102,29 @@ def test_entry_without_the_subpackage(monkeypatch):
     find = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("alarmlens.llm", "corpus_pipeline") else find(name, *a))
     assert not any(n.startswith("op") for n in __spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_fisher_exact_of_known_tables(spark):
+    from alarmlens.operators import evidence
+
+    rows = spark.createDataFrame([("x", 8, 2, 1, 5), ("y", 0, 5, 0, 5), ("z", 0, 0, 0, 0)], "channel string, a long, b long, c long, d long")
+    got = {r["channel"]: r for r in evidence.fisher_exact(rows, ["channel"]).collect()}
+    assert abs(got["x"]["p_value"] - 400 / 11440) < 1e-9 and got["x"]["odds_ratio"] == 20
+    assert got["y"]["p_value"] == got["z"]["p_value"] == 1 and got["y"]["odds_ratio"] is None
+
+
+def test_best_lag_finds_a_shift(spark):
+    from alarmlens.operators import evidence
+
+    wave = [((7 * i * i) % 97) / 3.0 for i in range(45)]
+    rows = spark.createDataFrame([("x", k, wave[k], wave[k - 4] if k >= 4 else None) for k in range(40)], "channel string, k long, level_z double, diff_z double")
+    got = evidence.best_lag(rows, ["channel"]).collect()
+    assert [(r["lag"], round(r["correlation"], 9), r["n_pairs"]) for r in got] == [(4, 1.0, 36)]
+
+
+def test_auc_pairs_add_up(spark):
+    from alarmlens.operators import evidence
+
+    rows = spark.createDataFrame([("a", 1.0, True), ("a", 1.0, False), ("a", 0.5, False), ("b", 0.7, True), ("b", 2.0, False), ("b", None, True)], "source string, s double, pos boolean")
+    got = {r["part"]: (r["won"], r["pairs"]) for r in evidence.auc_pairs(rows, "source", "s", "pos").collect()}
+    assert got == {"pooled": (2.5, 6.0), "within": (1.5, 3.0), "across": (1.0, 3.0)}

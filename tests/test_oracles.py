@@ -5,7 +5,8 @@ import math
 import duckdb
 import pytest
 
-import alarmlens.plans.studies  # noqa: F401  registers its queries
+import alarmlens.plans.evidence  # noqa: F401  registers its queries
+import alarmlens.plans.studies  # noqa: F401
 from alarmlens.operators.catalogue import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.01"

@@ -11,9 +11,12 @@ import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
 from .bpe_transducer import Memo, encoder
@@ -21,6 +24,8 @@ from .bpe_transducer import Memo, encoder
 LENGTH = 4096
 END_ID = 2
 GROUP_DOCS = 8192
+#: Bytes of text in a group, about; its ids are held in memory.
+GROUP_BYTES = 32 << 20
 PACKED = "doc_id long, start long, length long, {payload}, doc_tokens long, sequence_id long, offset long"
 
 
@@ -77,9 +82,8 @@ def _ids(path: str):
     return _memos[path].__getitem__
 
 
-def pieces(docs: DataFrame, tokenizer: str, group: Column, length: int = LENGTH, digest: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, start, length, its ids (or their CRC-32), doc_tokens and its group."""
-    payload = "ids_crc32 long" if digest else "ids array<int>"
+def pieces(docs: DataFrame, tokenizer: str, group: Column, length: int = LENGTH) -> DataFrame:
+    """A row for each piece: its group, doc_id, start, length, its ids as bytes of four each, and doc_tokens."""
 
     def make():
         encode = _ids(tokenizer)
@@ -92,35 +96,51 @@ def pieces(docs: DataFrame, tokenizer: str, group: Column, length: int = LENGTH,
                 n = len(ids) // 4
                 for at in range(0, n, length):
                     part = ids[4 * at : 4 * (at + length)]
-                    row = g, key, at, len(part) // 4, zlib.crc32(part) if digest else np.frombuffer(part, "<u4").astype(np.int32), n
-                    for values, x in zip(out, row):
+                    for values, x in zip(out, (g, key, at, len(part) // 4, part, n)):
                         values.append(x)
             return out
 
         return fn
 
-    return common.map_columns(docs, [group.alias("pack_group"), F.col("doc_id").cast("long").alias("doc_id"), "text"], make, f"pack_group long, doc_id long, start long, length long, {payload}, doc_tokens long", rows=128)
+    return common.map_columns(docs, [group.alias("pack_group"), F.col("doc_id").cast("long").alias("doc_id"), "text"], make, "pack_group long, doc_id long, start long, length long, ids binary, doc_tokens long", rows=128)
+
+
+def _as_lists(ids: pa.Array, kind: pa.DataType) -> pa.Array:
+    """Arrays of ids from their bytes, which stay where they are."""
+    ids = ids.cast(pa.binary())
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    values = np.frombuffer(ids.buffers()[2] or b"", "<i4", count=int(ends[-1] - ends[0]) // 4, offset=int(ends[0]))
+    return pa.ListArray.from_arrays(pa.array((ends - ends[0]) // 4, pa.int32()), pa.array(values, pa.int32()), type=kind)
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group_docs: int = GROUP_DOCS, digest: bool = False) -> DataFrame:
-    """Each row of docs, cut into pieces with their place: sequence_id, and offset in it.
+    """Each row of docs, cut into pieces with their ids and place: sequence_id, and offset in it. digest adds the ids' CRC-32.
 
     A null or empty text is one piece: the end id alone. A row with a null doc_id is packed like any other, and repeated rows
     are packed once each. Other columns aren't read. Groups are dealt by row, so that no repeated key meets in one.
     """
-    groups = max(1, -(-docs.count() // group_docs))
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(1, -(-n // group_docs), -(-size // GROUP_BYTES))
     group = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups))
-    cut = pieces(docs, tokenizer, group, length, digest)
-
-    def place(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start"], kind="stable", ignore_index=True)
-        bins, rows["offset"] = first_fit_decreasing(rows["length"].to_numpy(), length)
-        rows["sequence_id"] = (int(key[0]) << 32) + bins
-        return rows
-
-    schema = PACKED.format(payload="ids_crc32 long" if digest else "ids array<int>")
-    names = [x.split()[0] for x in schema.split(", ")]
-    return cut.groupBy("pack_group").applyInPandas(lambda key, rows: place(key, rows)[names], schema)
+    schema = PACKED.format(payload="ids array<int>, ids_crc32 long" if digest else "ids array<int>")
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows.select(["doc_id", "start"]), [("doc_id", "ascending"), ("start", "ascending")]).to_numpy()
+        bins, offsets = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        bins[order], offsets[order] = first_fit_decreasing(rows["length"].to_numpy()[order], length)
+        rows = rows.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
+        made = []
+        for batch in rows.to_batches():
+            ids = common.column(batch, "ids")
+            columns = {f.name: common.column(batch, f.name) for f in out if f.name not in ("ids", "ids_crc32")}
+            columns["ids"] = _as_lists(ids, out.field("ids").type)
+            if digest:
+                columns["ids_crc32"] = pa.array([zlib.crc32(x.as_buffer()) for x in ids], pa.int64())
+            made.append(pa.RecordBatch.from_arrays([columns[f.name] for f in out], schema=out))
+        return pa.Table.from_batches(made, schema=out)
+
+    return pieces(docs, tokenizer, group, length).groupBy("pack_group").applyInArrow(place, schema)
 
 
 def sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:
@@ -132,6 +152,7 @@ def sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataF
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces, with the CRC-32 of the ids that pack() returns in the place of these."""
     import public_tokenizers
 
-    return pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
+    return pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True).drop("ids")

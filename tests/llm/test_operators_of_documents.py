@@ -111,6 +111,19 @@ def test_packing(docs, empty):
     assert all(len(r.ids) == 4096 or len(r.ids) == r.n_tokens and not r.n_tokens & (r.n_tokens - 1) for r in whole)
 
 
+def test_packing_with_digests_keeps_ids(docs):
+    rows = packing.pack(docs, VOCABULARY, digest=True).collect()
+    assert all(r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *r.ids)) for r in rows)
+    key = lambda r: (repr(r.doc_id), r.start, r.ids)
+    assert sorted(map(key, rows)) == sorted(map(key, packing.pack(docs, VOCABULARY).collect()))
+    assert sum(len(r.ids) for r in packing.sequences(packing.pack(docs, VOCABULARY, digest=True)).collect()) >= sum(r.length for r in rows)
+
+
+def test_packing_groups_are_bounded_in_bytes(docs, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 64)
+    assert len({r.sequence_id >> 32 for r in packing.pack(docs, VOCABULARY).collect()}) > 1
+
+
 def test_first_fit_decreasing_is_first_fit():
     sizes = np.random.default_rng(3).integers(1, 4097, 500)
     bins, offsets = packing.first_fit_decreasing(sizes)

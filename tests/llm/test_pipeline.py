@@ -1,6 +1,8 @@
 """The pipeline against plain versions of its stages."""
 
 import re
+import struct
+import zlib
 
 import pyarrow.parquet as pq
 from tokenizers import Tokenizer
@@ -41,3 +43,17 @@ def test_run_equals_plain_stages(spark):
     for r in corpus_pipeline.run(spark, SMALL).collect():
         got[r.doc_id] = r.doc_tokens
     assert got == want and len(want) < len(rows)
+
+
+def test_run_returns_the_ids_of_the_last_texts(spark):
+    import public_tokenizers
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = corpus_pipeline.run(spark, SMALL).collect()
+    ids = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert len(r.ids) == r.length and r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *r.ids))
+        ids.setdefault(r.doc_id, []).extend(r.ids)
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table(f"{SMALL}/documents.parquet").to_pylist()}
+    same = [i for i in ids if ids[i] == [*library.encode(texts[i], add_special_tokens=False).ids, 2]]
+    assert len(same) > len(ids) / 2  # all whose text has nothing to redact

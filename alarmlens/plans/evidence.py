@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alarmlens.functions.random import uniform_sql
-from alarmlens.operators import effects, evidence, meta
-from alarmlens.operators.catalogue import CONTINGENCY_SQL, LABELLED_SQL, STUDY_SQL, Z_SQL, _contingency, _labelled, _peaks, _pooled_sql, _studies, query
+from alarmlens.operators import alarms, effects, evidence, inference, meta
+from alarmlens.operators.catalogue import CONTINGENCY_SQL, LABELLED_SQL, ORACLES, STUDY_SQL, Z_SQL, _contingency, _labelled, _peaks, _pooled_sql, _studies, query
 from alarmlens.plans.studies import CROSS_SQL
 from alarmlens.sources.telemetry import from_events
 
 MCC_SQL = "CASE WHEN (a + c) * (a + b) * (d + c) * (d + b) > 0 THEN (a * d - c * b) / sqrt((a + c) * (a + b) * (d + c) * (d + b)) ELSE 0 END"
 LEVELS = [0.01, 0.05, 0.1]
+#: Replicates of the survey's H3 and K2.
+REPLICATES = 2000
 COUNTS_SQL = "SELECT channel, a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c, d::DOUBLE AS d FROM tab"
 
 
@@ -80,6 +82,13 @@ def influence_flags(spark, sf_dir):
     return evidence.influence(meta.left_out(_studies(spark, sf_dir).withColumn("feature", F.lit("diff")), ["feature"], "channel"), ["feature"])
 
 
+def _hits(spark, sf_dir):
+    rows = from_events(spark, sf_dir)
+    points = effects.pivots(rows)
+    hits = effects.crossing_times(rows, points).join(points.select("channel", "segment", "anomaly"), ["channel", "segment"])
+    return hits.select("channel", "segment", "anomaly", F.col("level_cross").isNotNull().alias("hit"))
+
+
 @query(f"""WITH {CROSS_SQL}, h AS (SELECT channel, segment, anomaly, level_cross IS NOT NULL AS hit, row_number() OVER (PARTITION BY channel, anomaly ORDER BY segment) - 1 AS number, count(*) OVER (PARTITION BY channel, anomaly) AS size FROM cr),
 dr AS (SELECT channel, anomaly, rep, CAST(floor({uniform_sql('mcc', 'channel', 'anomaly', 'rep', 'number')} * size) AS BIGINT) AS number FROM h, range(1, 201) q(rep)),
 t AS (SELECT channel, rep, (count(*) FILTER (anomaly = 1 AND hit))::DOUBLE AS a, (count(*) FILTER (anomaly = 1 AND NOT hit))::DOUBLE AS b, (count(*) FILTER (anomaly = 0 AND hit))::DOUBLE AS c, (count(*) FILTER (anomaly = 0 AND NOT hit))::DOUBLE AS d
@@ -87,10 +96,22 @@ t AS (SELECT channel, rep, (count(*) FILTER (anomaly = 1 AND hit))::DOUBLE AS a,
 SELECT channel, round(quantile_cont(mcc, 0.025::DOUBLE), 6) AS low, round(quantile_cont(mcc, 0.5::DOUBLE), 6) AS mid, round(quantile_cont(mcc, 0.975::DOUBLE), 6) AS high,
  quantile_cont(mcc, 0.025::DOUBLE) < 0 AND quantile_cont(mcc, 0.975::DOUBLE) > 0 AS crosses_zero FROM m GROUP BY channel""")
 def mcc_bootstrap(spark, sf_dir):
-    rows = from_events(spark, sf_dir)
-    points = effects.pivots(rows)
-    hits = effects.crossing_times(rows, points).join(points.select("channel", "segment", "anomaly"), ["channel", "segment"])
-    return evidence.bootstrap_mcc(hits.select("channel", "segment", "anomaly", F.col("level_cross").isNotNull().alias("hit")), 200)
+    return evidence.bootstrap_mcc(_hits(spark, sf_dir), 200)
+
+
+@query(ORACLES["mcc_bootstrap"].replace("range(1, 201)", f"range(1, {REPLICATES} + 1)"))
+def mcc_bootstrap_interval(spark, sf_dir):
+    return evidence.bootstrap_mcc(_hits(spark, sf_dir), REPLICATES)
+
+
+@query(f"""{ORACLES["cluster_bootstrap_auroc"].replace("range(1, 51)", f"range(1, {REPLICATES} + 1)").rpartition("SELECT rep, ")[0].rstrip()},
+u AS (SELECT rep, sum(p * (below + q / 2)) / nullif(sum(p) * sum(q), 0) AS auroc FROM b GROUP BY rep)
+SELECT count(*) AS n_replicates, round(quantile_cont(auroc, 0.025::DOUBLE), 6) AS low, round(quantile_cont(auroc, 0.5::DOUBLE), 6) AS mid, round(quantile_cont(auroc, 0.975::DOUBLE), 6) AS high FROM u""")
+def cluster_bootstrap_interval(spark, sf_dir):
+    counts = _labelled(spark, sf_dir).groupBy("source", "s", "pos").agg(F.count(F.lit(1)).alias("n"))
+    weights = alarms.cluster_weights(counts.select("source"), "source", REPLICATES, "auroc")
+    drawn = counts.join(F.broadcast(weights), "source").withColumn("weight", F.col("weight") * F.col("n"))
+    return alarms.interval(inference.auroc(drawn, ["rep"], "s", "pos", "weight"), "auroc")
 
 
 @query(f"""WITH {CROSS_SQL} SELECT channel, segment, CAST(anomaly AS BIGINT) AS anomaly, level_cross, diff_cross,

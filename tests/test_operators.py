@@ -128,3 +128,13 @@ def test_auc_pairs_add_up(spark):
     rows = spark.createDataFrame([("a", 1.0, True), ("a", 1.0, False), ("a", 0.5, False), ("b", 0.7, True), ("b", 2.0, False), ("b", None, True)], "source string, s double, pos boolean")
     got = {r["part"]: (r["won"], r["pairs"]) for r in evidence.auc_pairs(rows, "source", "s", "pos").collect()}
     assert got == {"pooled": (2.5, 6.0), "within": (1.5, 3.0), "across": (1.0, 3.0)}
+
+
+@pytest.mark.parametrize("k", [1, 6, 22])
+def test_sign_flips_count_all_flips(spark, k):
+    x = np.random.default_rng(k).normal(0.3, 1, k)
+    sums = np.zeros(1)
+    for v in x:
+        sums = np.concatenate([sums + v, sums - v])
+    got = alarms.sign_flips(spark.createDataFrame([(float(v),) for v in x], "v double"), "v").first()
+    assert got.n_flips == 2**k and got.p_value == pytest.approx(np.mean(np.abs(sums) >= abs(x.sum()) - 1e-9))

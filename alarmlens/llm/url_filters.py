@@ -8,7 +8,7 @@ once for each host and day, which is also what spreads a host with a third of al
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -46,12 +46,24 @@ def entries(spark: SparkSession, rows=DEFAULT_ENTRIES) -> DataFrame:
     return spark.sql(f"SELECT list, verdict, kind, pattern, CAST(day AS DATE) AS effective_on, action FROM VALUES {values} AS t(list, verdict, kind, pattern, day, action)")
 
 
+def _host(url: Column) -> Column:
+    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    return F.lower(F.regexp_extract(authority, r"^(?:.*@)?([^@:]*)", 1))
+
+
+def _page(url: Column) -> Column:
+    """Host and path, as pages and url patterns are compared: the path keeps its case."""
+    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
+    return F.concat(F.nullif(_host(url), F.lit("")), path)
+
+
 def intervals(listed: DataFrame) -> DataFrame:
     """Each entry's time of validity: valid_from, and valid_to (exclusive; null: open). Of a day's entries an addition wins."""
     by = ("list", "verdict", "kind", "pattern")
+    whole = F.when(F.col("pattern").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("pattern")).otherwise(F.concat(F.lit("http://"), "pattern"))
     days = (
         listed.where("list IS NOT NULL AND pattern IS NOT NULL AND effective_on IS NOT NULL")
-        .withColumn("pattern", F.lower("pattern"))
+        .withColumn("pattern", F.when(F.col("kind") == "url", _page(whole)).otherwise(F.lower("pattern")))
         .groupBy(*by, "effective_on")
         .agg(F.max(F.col("action") == "add").alias("on"))
     )
@@ -60,10 +72,7 @@ def intervals(listed: DataFrame) -> DataFrame:
 
 def addressed(captures: DataFrame) -> DataFrame:
     """Adds host (lower case, without user and port) and page (host and path, without query, fragment and end slash)."""
-    authority = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    host = F.lower(F.regexp_extract(authority, r"^(?:.*@)?([^@:]*)", 1))
-    path = F.regexp_replace(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
-    return captures.withColumn("host", F.nullif(host, F.lit(""))).withColumn("page", F.concat("host", path))
+    return captures.withColumn("host", F.nullif(_host(F.col("url")), F.lit(""))).withColumn("page", _page(F.col("url")))
 
 
 def _looked_up(keys: DataFrame, valid: DataFrame, by: str, first, last) -> DataFrame:

@@ -346,3 +346,10 @@ def test_url_filters_on_awkward_rows(spark):
     assert got == sorted([(1, "block", 1), (1, "block", 1), (2, "none", 0), (3, "none", 0), (4, "none", 0), (None, "allow", 2), (5, "none", 0)], key=repr)
     assert url_filters.filtered(captures.where("false"), listed).count() == 0
     assert url_filters.filtered(captures, listed.where("false")).where("verdict <> 'none'").count() == 0
+
+
+def test_url_patterns_are_normalised_as_pages_are(spark):
+    listed = url_filters.entries(spark, [("x", "block", "url", p, "2024-01-01", "add") for p in ("Host.Example.com/A/b", "https://u@Host.example.com:80/C/d/?q=1", "host.example.com/E/")] + [("x", "block", "domain", "Host.Example.org", "2024-01-01", "add")])
+    assert {r.pattern for r in url_filters.intervals(listed).collect()} == {"host.example.com/A/b", "host.example.com/C/d", "host.example.com/E", "host.example.org"}
+    pages = spark.createDataFrame([("http://HOST.example.com/A/b/?x",), ("http://host.example.com/C/d",)], "url string")
+    assert [r.page for r in url_filters.addressed(pages).collect()] == ["host.example.com/A/b", "host.example.com/C/d"]

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: A key that at least so many rows have, and at least this share of all, is joined by broadcast: no more than HOT_SHARE keys can be so frequent.
+HOT_ROWS, HOT_SHARE = 10_000, 100_000
 #: Rows that a task turns into Python objects at a time.
 SLICE_ROWS = 512
 
@@ -19,23 +23,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new one, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         current = context._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="alarmlens-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that lost executors cost no recomputation of its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def saved(df: DataFrame) -> DataFrame:
+    """df, computed once and written as a table in the shared folder, so that lost executors cost no recomputation of its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing needs any more, and lets Spark find the shuffles that went into them."""
+    for table in tables:
+        spark = table.sparkSession
+        remove_folder(spark, table.saved_at)
+        spark.sparkContext._jvm.System.gc()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def joined(rows: DataFrame, table: DataFrame, on: list[str], size: str) -> DataFrame:
+    """Inner join with a table of one row a key, whose column size says how many rows have the key. Both are saved tables.
+
+    The most frequent keys, a bounded number, are sent to all tasks, so that none of them has to meet in one.
+    """
+    bound = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    marked = rows.join(F.broadcast(table.where(F.col(size) >= bound)), on, "left")
+    rest = marked.where(F.col(size).isNull()).select(*rows.columns)
+    return marked.where(F.col(size).isNotNull()).unionByName(rest.join(table.where(F.col(size) < bound).hint("merge"), on))
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -15,7 +15,7 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each end of a link (a, b) can reach. Links to itself and nulls count for nothing."""
-    edges = common.checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = common.saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = common.checkpointed(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        edges = common.saved(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         new = _state(edges)
         if new == state:
             break

@@ -180,7 +180,7 @@ def _nodes(reps: DataFrame, trees: range) -> DataFrame:
             .where("n > 1 AND c0 <> c1")
             .select(f"k{d}", "n", "weight")
         )
-        open_ = common.checkpointed(open_.join(sizes, f"k{d}").select("rep", "component", "n_shingles", "d1", *[f"k{x}" for x in range(d, DEPTH)], "n", "weight"))
+        open_ = common.saved(open_.join(sizes, f"k{d}").select("rep", "component", "n_shingles", "d1", *[f"k{x}" for x in range(d, DEPTH)], "n", "weight"))
         small = f"n <= {MOST_DOCS} AND weight <= {MOST_SHINGLES}"
         done.append(open_.where(small).select(F.col(f"k{d}").alias("node"), "rep", "component", "d1"))
         open_ = open_.where(f"NOT ({small})")
@@ -206,7 +206,7 @@ def _links(docs: DataFrame, reps: DataFrame, trees: range, size: int, percent: i
     """Confirmed links (a, b) between vertices that these trees bring together."""
     placed = _nodes(reps, trees).join(reps.select("rep", "n_shingles", "sketch"), "rep")
     near = common.map_groups(placed, "node", lambda members: _alike(members, percent), "node long, rep long, component long, d1 long")
-    near = common.checkpointed(near.dropDuplicates(["node", "rep"]))
+    near = common.saved(near.dropDuplicates(["node", "rep"]))
     wanted = near.groupBy("rep", "d1").agg(F.collect_list(F.struct("node", "component")).alias("places"))
     if near.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -235,7 +235,7 @@ def _links(docs: DataFrame, reps: DataFrame, trees: range, size: int, percent: i
         pairs = joined_sets(ids, np.asarray(members["component"])[at], [np.frombuffer(x, np.uint64) for x in found], percent)
         return {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]} if pairs else None
 
-    return common.checkpointed(common.map_groups(sets, "node", compare, "a long, b long"))
+    return common.saved(common.map_groups(sets, "node", compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80, rounds: tuple = ROUNDS) -> DataFrame:
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80, rou
     one doc_id and different texts are one vertex of the graph. A row with a null doc_id is compared like any other, gets
     the smallest id that it reaches (null without one) and is kept. Only doc_id and text are read.
     """
-    sketches = common.checkpointed(sketched(docs, size))
+    sketches = common.saved(sketched(docs, size))
     key = ["d1", "d2"]
     classes = sketches.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     reps = classes.where("rep IS NOT NULL").drop("d2")
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80, rou
         new = _links(docs, labels, range(done, done + trees), size, percent)
         links = new if links is None else links.unionByName(new)
         done += trees
-        found = common.checkpointed(components(links))
+        found = common.saved(components(links))
         labels = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     whole = sketches.select("doc_id", "n_shingles", *key).join(classes.select(*key, "rep"), key, "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))

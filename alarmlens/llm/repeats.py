@@ -1,10 +1,8 @@
 """Where sequences of symbols repeat across documents, without shuffling a row for each position.
 
 Every window of a fixed length holds short grams; the smallest hash among them is the window's anchor, the same wherever
-the window stands. So a window can repeat only where its anchor's gram repeats. A document sends one row for each anchor:
-the gram's hash (key) and the hash of all windows that the anchor serves (ctx), which lie side by side from lo to hi. Rows of
-the same key and ctx settle their windows at once; rows of one key and different ctx are left to be compared window by
-window. Rows are dealt by ranges of (key, ctx, document), so that a key with a large share of the rows spreads over tasks.
+the window stands. So a window can repeat only where its anchor's gram (key) repeats. A document sends one row for each
+anchor, with the number of windows that it serves, which lie side by side; anchors whose key nothing else has are left out.
 """
 
 from __future__ import annotations
@@ -22,9 +20,6 @@ from .near_duplicates import mixed
 #: Windows that are hashed at a time, in a long document.
 CHUNK = 1 << 18
 POSITION = np.uint64((1 << 19) - 1)
-#: Anchors that a task remembers, to settle repeats that it meets itself.
-MOST_SEEN = 400_000
-COVERED, OPEN, BOTH = 0, 1, 2
 
 _BASES = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -67,61 +62,37 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(codes: np.ndarray, gram: int, length: int) -> tuple[np.ndarray, ...]:
-    """key, ctx, anchor, lo, hi of each anchor: it serves the windows that begin at lo to hi."""
+    """key, anchor, lo, hi of each anchor: it serves the windows that begin at lo to hi."""
     parts = []
     for at in range(0, max(0, len(codes) - length + 1), CHUNK):
         part = codes[at : at + CHUNK + length - 1]
-        sums, other = prefix(part, 0), prefix(part, 1)
+        sums = prefix(part, 0)
         starts = np.arange(len(part) - gram + 1)
-        grams = (sums[gram:] - sums[:-gram]) * _power(0, len(sums))[1][: len(starts)]
-        grams = mixed(grams)
+        grams = mixed((sums[gram:] - sums[:-gram]) * _power(0, len(sums))[1][: len(starts)])
         least = sliding_least((grams & ~POSITION) | starts.astype(np.uint64), length - gram + 1)
         lo = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         hi = np.concatenate([lo[1:], [len(least)]]) - 1
         anchor = (least[lo] & POSITION).astype(np.int64)
-        shape = mixed((anchor - lo).astype(np.uint64) << np.uint64(32) | (hi - lo).astype(np.uint64))
-        ctx = mixed(hashed(other, lo, hi + length, 1) ^ shape)
-        parts.append((grams[anchor], ctx, anchor + at, lo + at, hi + at))
+        parts.append((grams[anchor], anchor + at, lo + at, hi + at))
     if not parts:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-ROW = "key long, ctx long, doc long, anchor int, lo int, hi int, settled boolean"
+ROW = "key long, doc long, anchor int, before short, n short"
 
 
-def anchor_rows(docs: DataFrame, codes: Callable[[bytes], np.ndarray], gram: int, length: int, earlier: bool) -> DataFrame:
-    """A row for each anchor of each document (columns doc, text). What a task can settle by itself is marked so.
-
-    earlier: a window counts as a repeat if it is in a document with a smaller id; else if it is anywhere else.
-    """
+def anchor_rows(docs: DataFrame, codes: Callable[[bytes], np.ndarray], gram: int, length: int) -> DataFrame:
+    """A row for each anchor of each document (columns doc, text): it serves n windows, the first of which begins `before` symbols before it."""
 
     def make():
-        seen: dict[int, int] = {}
-
-        def settle(doc: int, key: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-            if len(seen) > MOST_SEEN:
-                seen.clear()
-            out = np.zeros(len(key), bool)
-            for i, x in enumerate((key ^ (ctx * np.uint64(3))).tolist()):
-                before = seen.get(x)
-                if earlier:
-                    if before is None or doc < before:
-                        seen[x] = doc
-                    else:
-                        out[i] = before < doc
-                else:  # the first two go on to the other tasks' rows
-                    seen[x] = n = (before or 0) + 1
-                    out[i] = n > 2
-            return out
-
         def fn(ids, texts):
-            columns = [[] for _ in range(7)]
+            columns = [[] for _ in range(5)]
             for doc, text in zip(ids.to_pylist(), common.as_bytes(texts)):
-                found = anchors(codes(text or b""), gram, length)
-                if len(found[0]):
-                    for values, x in zip(columns, (found[0].view(np.int64), found[1].view(np.int64), np.full(len(found[0]), doc, np.int64), *found[2:], settle(doc, found[0], found[1]))):
+                key, anchor, lo, hi = anchors(codes(text or b""), gram, length)
+                if len(key):
+                    for values, x in zip(columns, (key.view(np.int64), np.full(len(key), doc, np.int64), anchor, anchor - lo, hi - lo + 1)):
                         values.append(x)
             return [pa.array(np.concatenate(x)) if x else pa.nulls(0) for x in columns]
 
@@ -130,40 +101,37 @@ def anchor_rows(docs: DataFrame, codes: Callable[[bytes], np.ndarray], gram: int
     return common.map_columns(docs.where("doc IS NOT NULL AND text IS NOT NULL"), ["doc", "text"], make, ROW, rows=128)
 
 
-def settled(rows: DataFrame, earlier: bool) -> DataFrame:
-    """doc, key, anchor, lo, hi and state: COVERED (all windows repeat), OPEN (to be compared), or BOTH (covered, and what others of its key are compared with)."""
-    by_range = rows.repartitionByRange("key", "ctx", "doc", "anchor").sortWithinPartitions("key", "ctx", "doc", "anchor")
+def candidates(rows: DataFrame) -> DataFrame:
+    """The anchors whose key another anchor has too. rows is a saved table, since it is read for a sample of its keys first.
+
+    Rows are dealt by ranges of (key, doc, anchor), so that a key with a large share of them spreads over tasks; the first and
+    the last of a task's rows may have fellows in the next task, and stay. Batches stream through; one row is held.
+    """
+    by_range = rows.repartitionByRange("key", "doc", "anchor").sortWithinPartitions("key", "doc", "anchor")
 
     def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches)
-        key, ctx, doc, mine = (np.asarray(t[c]) for c in ("key", "ctx", "doc", "settled"))
-        state = np.where(mine, COVERED, -1)
-        at = np.flatnonzero(~mine)
-        if len(at):
-            k, c, d = key[at], ctx[at], doc[at]
-            new_key = np.concatenate([[True], k[1:] != k[:-1]])
-            new_class = new_key | np.concatenate([[True], c[1:] != c[:-1]])
-            of_class = np.cumsum(new_class) - 1
-            of_key = np.cumsum(new_key) - 1
-            several = np.bincount(of_key[new_class]) > 1
-            several[0] = several[-1] = True  # the key may go on in the next partition
-            first = np.flatnonzero(new_class)
-            shared = several[of_key]
-            if earlier:
-                covered = d > d[first][of_class]
-                leads = ~covered
-            else:
-                covered = np.bincount(of_class)[of_class] > 1
-                leads = new_class
-            state[at] = np.where(covered, np.where(leads & shared, BOTH, COVERED), np.where(shared, OPEN, -1))
-        keep = np.flatnonzero(state >= 0)
-        if len(keep):
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.asarray(t[x])[keep]) for x in ("doc", "key", "anchor", "lo", "hi")), pa.array(state[keep].astype(np.int32))], names=["doc", "key", "anchor", "lo", "hi", "state"])
-
-    return by_range.mapInArrow(run, "doc long, key long, anchor int, lo int, hi int, state int")
+        held, key, several = None, None, True
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = np.asarray(common.column(batch, "key"))
+            same = keys[1:] == keys[:-1]
+            keep = np.concatenate([same, [False]]) | np.concatenate([[held is None or key == keys[0]], same])
+            if held is not None and (several or key == keys[0]):
+                yield held
+            yield batch.slice(0, n - 1).filter(pa.array(keep[:-1]))
+            held, key, several = batch.slice(n - 1), keys[-1], bool(keep[-1])
+        if held is not None:
+            yield held
+
+    return by_range.mapInArrow(run, rows.schema)
+
+
+def placed(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs (doc, text) that have candidates, with these (at: key, anchor, before, n); their number is bounded by the text's length."""
+    at = found.groupBy("doc").agg(F.collect_set(F.struct("key", "anchor", "before", "n")).alias("at"))
+    return docs.join(at.hint("merge"), "doc")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

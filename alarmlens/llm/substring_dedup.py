@@ -1,8 +1,8 @@
 """Substrings of words that an earlier document has (operator 7).
 
-Rabin-Karp hashes of every window of fifty words, counted in Spark. Windows whose anchor (see repeats) is in no other document
-can't repeat and are hashed in their task alone; where whole runs of windows are equal, one hash stands for the run; the
-rest are shuffled window by window. Repeated windows merge into maximal removal intervals.
+Rabin-Karp hashes of every window of fifty words, counted in Spark: each window that can repeat is a row, and a shuffle by hash
+finds the smallest doc_id that has it. A window whose anchor (see repeats) is nowhere else can't repeat: of these, a hash of
+the anchor's gram is counted instead, one for all windows that it serves. Repeated windows merge into maximal removal intervals.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,42 +26,47 @@ def word_codes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc, spans): words lo to hi (exclusive) to remove, of the documents (doc, text) that have any."""
-    states = common.checkpointed(repeats.settled(repeats.anchor_rows(docs, word_codes, gram, window, earlier=True), earlier=True))
-    known = states.where(f"state <> {repeats.OPEN}").select("doc", "lo", (F.col("hi") + window).alias("hi"))
-    wanted = repeats.by_document(states.where(f"state <> {repeats.COVERED}").select("doc", "lo", "hi"))
+def windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(h, id, doc, lo) of each window that can repeat, in documents (id, doc, text) whose doc tells rows apart."""
+    rows = common.saved(repeats.anchor_rows(docs, word_codes, gram, window))
+    found = common.saved(repeats.candidates(rows))
+    common.dropped(rows)
 
     def make():
-        def fn(ids, texts, spans):
-            hashes, owners, places = [], [], []
-            for doc, text, at in zip(ids.to_pylist(), common.as_bytes(texts), spans.to_pylist()):
-                starts = np.unique(np.concatenate([np.arange(s["lo"], s["hi"] + 1) for s in at]))
-                codes = word_codes(text or b"")
-                starts = starts[starts + window <= len(codes)]  # of several texts under one id, the shorter ones
-                hashes.append(repeats.window_hashes(codes, starts, window).view(np.int64))
-                owners.append(np.full(len(starts), doc, np.int64))
-                places.append(starts.astype(np.int32))
-            return [np.concatenate(x).tolist() if x else [] for x in (hashes, owners, places)]
+        def fn(ids, docs, texts, places):
+            out = [[] for _ in range(4)]
+            for id_, doc, text, at in zip(ids.to_pylist(), docs.to_pylist(), common.as_bytes(texts), places.to_pylist()):
+                starts = np.concatenate([np.arange(p["anchor"] - p["before"], p["anchor"] - p["before"] + p["n"]) for p in at])
+                for values, x in zip(out, (repeats.window_hashes(word_codes(text), starts, window).view(np.int64), np.full(len(starts), id_, np.int64), np.full(len(starts), doc, np.int64), starts.astype(np.int32))):
+                    values.append(x)
+            return [pa.array(np.concatenate(x)) if x else pa.nulls(0) for x in out]
 
         return fn
 
-    windows = common.map_columns(docs.join(wanted, "doc"), ["doc", "text", "spans"], make, "h long, doc long, lo int", rows=128)
-    windows = common.checkpointed(windows)
-    earliest = windows.groupBy("h").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = windows.join(earliest, "h").where("doc > least").select("doc", "lo", (F.col("lo") + window).cast("int").alias("hi"))
-    return repeats.by_document(known.union(found))
+    return common.map_columns(repeats.placed(docs, found), ["id", "doc", "text", "at"], make, "h long, id long, doc long, lo int", rows=64)
+
+
+def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc, spans): words lo to hi (exclusive) to remove, of the documents (id, doc, text) that have any."""
+    each = common.saved(windows(docs, window, gram))
+    counted = each.groupBy("h").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = common.saved(counted)
+    spans = common.joined(each, counted, ["h"], "n").where("id > least").select("doc", "lo", (F.col("lo") + window).cast("int").alias("hi"))
+    found = common.saved(spans)
+    common.dropped(each, counted)
+    return repeats.by_document(found)
 
 
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text, and spans of words to remove (null: none).
 
     A null or empty text has no words. A null doc_id is neither smaller nor larger than another: its row keeps all words, and
-    takes none from others. Rows that repeat a doc_id are one document: of one id and different texts, a span that either
-    has is removed from both as far as it reaches. Only doc_id and text are read.
+    takes none from others. Rows that repeat a doc_id take nothing from each other, and each is judged by its own text against
+    the smaller ids. Only doc_id and text are read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    return rows.join(removal_spans(rows, window), "doc", "left").withColumnRenamed("doc", "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.xxhash64("doc_id", "text"))
+    known = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "doc", "text")
+    return rows.join(removal_spans(known, window).hint("merge"), "doc", "left").drop("doc")
 
 
 def kept_words(text: bytes | None, spans: list | None) -> tuple[list[bytes], int]:

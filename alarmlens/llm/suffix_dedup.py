@@ -2,19 +2,25 @@
 
 The suffixes that are sorted are those at anchors (see repeats): every string of 200 bytes holds one, at the same place
 wherever it occurs. Suffixes are dealt by their first bytes. Within such a group a multikey quicksort orders them to a shallow
-depth, and blind tries order what still shares a long prefix. From the common prefixes of neighbours, and those of the
-reversed texts before the anchors, follow the longest strings that each suffix shares with another.
+depth, and blind tries order what still shares a long prefix; the reversed texts before the anchors are sorted likewise. All
+removed bytes follow from the common prefixes of neighbours in these two orders: groups of suffixes grow as the prefix that
+they share shrinks, and the neighbours by left side inside a growing group give the longest string that each one shares.
+A context (what the anchor's windows span) that several places of a task have goes to the sort once, with their number.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common, repeats
 
@@ -22,8 +28,12 @@ LENGTH = 200
 GRAM = 48
 #: Bytes after the shared gram that the quicksort looks at.
 SHALLOW = 8
-#: Larger groups of one gram are dealt anew, window by window.
-MOST_GROUP = 4096
+#: Contexts that one task sorts together; a group with more is dealt on by further bytes.
+MOST_GROUP = 1 << 16
+#: Bytes of different contexts that a task holds to send each of them once.
+MOST_HELD = 32 << 20
+CONTEXT = "key long, h long, context binary, before int, places long, doc long, anchor int"
+FOUND = "key long, h long, left int, right int, places long"
 
 
 def byte_codes(text: bytes) -> np.ndarray:
@@ -127,103 +137,184 @@ def deep_shallow(texts: list[bytes], start: int = 0, shallow: int = SHALLOW) ->
     return out
 
 
-def shared_spans(rights: list[bytes], lefts: list[bytes], length: int, gram: int) -> list[list[tuple[int, int]]]:
-    """For each anchor, spans (bytes before, bytes after) of at least length that some other anchor of the group shares.
+def shared_lengths(contexts: list[bytes], before: list[int], length: int, gram: int) -> list[tuple[int, int]]:
+    """For each context, how many bytes before and after its anchor belong to strings of length bytes that another one shares at the anchor; (0, 0): none.
 
-    rights are the texts from the anchors on, lefts those before them, reversed.
+    All strings in question hold the anchor's gram, so what they cover is one piece, from the farthest left to the farthest
+    right. Contexts that share d bytes after the anchor and l before it share such strings if l + d >= length.
     """
-    m = len(rights)
-    out: list[list[tuple[int, int]]] = [[] for _ in range(m)]
-    if m == 2:
-        before, after = common_prefix(*lefts), common_prefix(*rights, gram)
-        if before + after >= length:
-            out[0].append((before, after))
-            out[1].append((before, after))
-        return out
+    rights, lefts = [c[b:] for c, b in zip(contexts, before)], [c[:b][::-1] for c, b in zip(contexts, before)]
     order = deep_shallow(rights, gram)
-    prefixes = [common_prefix(rights[a], rights[b], gram) for a, b in itertools.pairwise(order)]
-    for depth in sorted(set(prefixes)):
-        run = [order[0]]
-        for i, n in zip([*order[1:], None], [*prefixes, -1]):
-            if n >= depth:
-                run.append(i)
-                continue
-            if len(run) > 1:
-                run.sort(key=lefts.__getitem__)
-                best = [0] * len(run)
-                for j in range(len(run) - 1):
-                    n_left = common_prefix(lefts[run[j]], lefts[run[j + 1]])
-                    best[j], best[j + 1] = max(best[j], n_left), n_left
-                for j, n_left in zip(run, best):
-                    if n_left + depth >= length:
-                        out[j].append((n_left, depth))
-            run = [i]
-    return out
-
-
-def removal_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_group: int = MOST_GROUP) -> DataFrame:
-    """(doc, spans): bytes lo to hi (exclusive) that lie in a string of length bytes which also starts elsewhere, for documents (doc, text)."""
-    states = common.checkpointed(repeats.settled(repeats.anchor_rows(docs, byte_codes, gram, length, earlier=False), earlier=False))
-    known = states.where(f"state <> {repeats.OPEN}").select("doc", "lo", (F.col("hi") + length).alias("hi"))
-    open_ = states.where(f"state <> {repeats.COVERED}")
-    large = common.checkpointed(open_.groupBy("key").count().where(F.col("count") > most_group).select("key"))
-    spans = known.union(_sorted_groups(docs, open_.join(large, "key", "left_anti"), length, gram))
-    if large.take(1):
-        spans = spans.union(_single_windows(docs, open_.join(large, "key", "left_semi"), length))
-    return repeats.by_document(spans)
-
-
-def _wanted(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    at = rows.groupBy("doc").agg(F.collect_list(F.struct("key", "anchor", "lo", "hi")).alias("at"))
-    return docs.join(at, "doc")
-
+    shared = [common_prefix(rights[a], rights[b], gram) for a, b in itertools.pairwise(order)]
+    place = {i: k for k, i in enumerate(deep_shallow(lefts))}
+    by_left = sorted(place, key=place.__getitem__)
+    left, right = [0] * len(contexts), [0] * len(contexts)
+    members = [[place[i]] for i in order]  # of the group that begins at this place of the order, by left side
+    head = list(range(len(order)))
+
+    def group_of(k: int) -> int:
+        while head[k] != k:
+            head[k] = head[head[k]]
+            k = head[k]
+        return k
+
+    for k in sorted(range(len(shared)), key=shared.__getitem__, reverse=True):
+        depth = shared[k]
+        a, b = group_of(k), group_of(k + 1)
+        if len(members[a]) < len(members[b]):
+            a, b = b, a
+        head[b] = a
+        into = members[a]
+        for x in members[b]:
+            at = bisect.bisect(into, x)
+            into.insert(at, x)
+            i = by_left[x]
+            for y in into[max(0, at - 1) : at] + into[at + 1 : at + 2]:
+                j = by_left[y]
+                n = common_prefix(lefts[i], lefts[j])
+                if n + depth >= length:
+                    for m in (i, j):
+                        left[m], right[m] = max(left[m], n), max(right[m], depth)
+        members[b] = []
+    return list(zip(left, right))
+
+
+def contexts(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """Rows of two kinds: a context (context, before, places: how many the task saw), and a place of one (doc, anchor). h names a context of its key."""
+    out = to_arrow_schema(T.StructType.fromDDL(CONTEXT))
+
+    def run(batches):
+        held: dict[tuple[int, bytes], list[int]] = {}
+        size = 0
+
+        def rows(columns: dict[str, list]) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in out], schema=out)
+
+        def flush():
+            at = list(held.items())
+            return rows({"key": [k for (k, _), _ in at], "h": [v[0] for _, v in at], "context": [c for (_, c), _ in at], "before": [v[1] for _, v in at], "places": [v[2] for _, v in at]})
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                keys, hashes, owners, anchors = [], [], [], []
+                for doc, text, at in zip(part.column(0).to_pylist(), common.as_bytes(part.column(1)), part.column(2).to_pylist()):
+                    for p in at:
+                        key, anchor, before = p["key"], p["anchor"], p["before"]
+                        lo = anchor - before
+                        context = text[lo : lo + p["n"] - 1 + length]
+                        name = held.get((key, context))
+                        if name is None:
+                            h = xxhash.xxh3_64_intdigest(context, before)
+                            name = held[key, context] = [h - (1 << 64) if h >> 63 else h, before, 0]
+                            size += len(context) + 200
+                        name[2] += 1
+                        keys.append(key)
+                        hashes.append(name[0])
+                        owners.append(doc)
+                        anchors.append(anchor)
+                if keys:
+                    yield rows({"key": keys, "h": hashes, "doc": owners, "anchor": anchors})
+                if size > MOST_HELD:
+                    yield flush()
+                    held, size = {}, 0
+        if held:
+            yield flush()
+
+    return repeats.placed(docs, found).select("doc", "text", "at").mapInArrow(run, CONTEXT)
+
+
+def sorted_groups(different: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key, h, left, right, places) of the contexts with strings that other places have too. A task holds one group at a time."""
+    out = to_arrow_schema(T.StructType.fromDDL(FOUND))
+
+    def run(batches):
+        key, members, made = None, [], []
+
+        def finish():
+            if len(members) > 1 or members and members[0][3] > 1:
+                reach = shared_lengths([m[1] for m in members], [m[2] for m in members], length, gram)
+                best: dict[int, list[int]] = {}
+                for (h, context, before, places), (left, right) in zip(members, reach):
+                    if places > 1:  # a task's combined neighbours are equal to their ends
+                        left, right = before, len(context) - before
+                    seen = best.setdefault(h, [0, 0, 0])
+                    seen[:] = max(seen[0], left), max(seen[1], right), seen[2] + places
+                made.extend((key, h, *x) for h, x in best.items() if x[1])
+            members.clear()
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                if row[0] != key:
+                    finish()
+                    key = row[0]
+                members.append(row[1:])
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made), out)], schema=out)
+                made = []
+        finish()
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made), out)], schema=out)
+
+    return different.select("key", "h", "context", "before", "places").repartition("key").sortWithinPartitions("key").mapInArrow(run, FOUND)
+
+
+def dealt_on(different: DataFrame, length: int, width: int) -> DataFrame:
+    """Each context cut into the parts that width neighbouring windows span, dealt by the bytes that all of these have in common.
+
+    of_key, of_h and shift (from the old anchor to the new one) say where a part comes from. With width 1 the parts of one key
+    are equal.
+    """
 
-def _sorted_groups(docs: DataFrame, rows: DataFrame, length: int, gram: int) -> DataFrame:
     def make():
-        def fn(ids, texts, places):
-            out = [[] for _ in range(4)]
-            for doc, text, at in zip(ids.to_pylist(), common.as_bytes(texts), places.to_pylist()):
-                for p in at:
-                    for values, x in zip(out, (p["key"], doc, p["anchor"], (text or b"")[p["lo"] : p["anchor"]][::-1] + b"\0" + (text or b"")[p["anchor"] : p["hi"] + length])):
-                        values.append(x)
-            out.append([p["anchor"] - p["lo"] for at in places.to_pylist() for p in at])
-            return out
+        def fn(keys, hashes, texts, befores, places):
+            rows = []
+            for key, h, text, before, n in zip(keys.to_pylist(), hashes.to_pylist(), texts.to_pylist(), befores.to_pylist(), places.to_pylist()):
+                for block in range(-(-(before + 1) // width)):
+                    first, last = max(0, before - (block + 1) * width + 1), min(len(text) - length, before - block * width)
+                    if first > last:
+                        continue
+                    part, at = text[first : last + length], before - block * width - first
+                    core = text[first + at : before - (block + 1) * width + 1 + length]
+                    new, name = xxhash.xxh3_64_intdigest(core, block) ^ key & (1 << 64) - 1, xxhash.xxh3_64_intdigest(part, at)
+                    rows.append((*(x - (1 << 64) if x >> 63 else x for x in (new, name)), part, at, n, key, h, -block * width))
+            return [list(x) for x in zip(*rows)] if rows else [[]] * 8
 
         return fn
 
-    contexts = common.map_columns(_wanted(docs, rows), ["doc", "text", "at"], make, "key long, doc long, anchor int, context binary, before int", rows=128)
-
-    def compare(members: pa.Table) -> dict | None:
-        if members.num_rows < 2:
-            return None
-        docs_, anchors_, before, contexts_ = (members[c].to_pylist() for c in ("doc", "anchor", "before", "context"))
-        found = shared_spans([c[b + 1 :] for c, b in zip(contexts_, before)], [c[:b] for c, b in zip(contexts_, before)], length, gram)
-        spans = [(d, a - n, a + r) for d, a, x in zip(docs_, anchors_, found) for n, r in x]
-        return {"doc": [s[0] for s in spans], "lo": [s[1] for s in spans], "hi": [s[2] for s in spans]} if spans else None
-
-    return common.map_groups(contexts, "key", compare, "doc long, lo int, hi int")
-
+    return common.map_columns(different, ["key", "h", "context", "before", "places"], make, "key long, h long, context binary, before int, places long, of_key long, of_h long, shift int", rows=64)
 
-def _single_windows(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """Groups too large for a task: each window's hash, counted in Spark."""
 
-    def make():
-        def fn(ids, texts, places):
-            hashes, owners, starts = [], [], []
-            for doc, text, at in zip(ids.to_pylist(), common.as_bytes(texts), places.to_pylist()):
-                where = np.unique(np.concatenate([np.arange(p["lo"], p["hi"] + 1) for p in at]))
-                codes = byte_codes(text or b"")
-                where = where[where + length <= len(codes)]
-                hashes.append(repeats.window_hashes(codes, where, length).view(np.int64))
-                owners.append(np.full(len(where), doc, np.int64))
-                starts.append(where)
-            return [np.concatenate(x).tolist() if x else [] for x in (hashes, owners, starts)]
+def reaches(different: DataFrame, length: int, gram: int, most_group: int, widths: tuple = (16, 1)) -> DataFrame:
+    """sorted_groups(), where groups of more than most_group contexts are dealt on by further bytes, until no group is as large or its contexts are equal."""
+    large = common.saved(different.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_group).select("key"))
+    if not widths or not large.take(1):
+        common.dropped(large)
+        return sorted_groups(different, length, gram)
+    # at most one key in most_group rows
+    small = different.join(F.broadcast(large), "key", "left_anti")
+    parts = common.saved(dealt_on(different.join(F.broadcast(large), "key", "left_semi"), length, widths[0]))
+    once = parts.groupBy("key", "h").agg(F.first("context").alias("context"), F.first("before").alias("before"), F.sum("places").alias("places"))
+    found = reaches(common.saved(once), length, length + 1 - widths[0], most_group, widths[1:])
+    origin = parts.select("key", "h", "of_key", "of_h", "shift", F.col("places").alias("own")).join(found.drop("places"), ["key", "h"])
+    whole = origin.groupBy(F.col("of_key").alias("key"), F.col("of_h").alias("h")).agg(F.max(F.col("left") - F.col("shift")).cast("int").alias("left"), F.max(F.col("right") + F.col("shift")).cast("int").alias("right"), F.max("own").alias("places"))
+    return sorted_groups(small, length, gram).unionByName(whole)
 
-        return fn
 
-    windows = common.checkpointed(common.map_columns(_wanted(docs, rows), ["doc", "text", "at"], make, "h long, doc long, lo int", rows=64))
-    several = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    return windows.join(several, "h", "left_semi").select("doc", "lo", (F.col("lo") + length).cast("int").alias("hi"))
+def removal_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_group: int = MOST_GROUP) -> DataFrame:
+    """(doc, spans): bytes lo to hi (exclusive) that lie in a string of length bytes which also starts elsewhere, for documents (doc, text)."""
+    rows = common.saved(repeats.anchor_rows(docs, byte_codes, gram, length))
+    found = common.saved(repeats.candidates(rows))
+    common.dropped(rows)
+    both = common.saved(contexts(docs, found, length))
+    common.dropped(found)
+    reach = common.saved(reaches(both.where("context IS NOT NULL"), length, gram, most_group))
+    places = both.where("doc IS NOT NULL").select("key", "h", "doc", "anchor")
+    spans = common.joined(places, reach, ["key", "h"], "places").select("doc", (F.col("anchor") - F.col("left")).alias("lo"), (F.col("anchor") + F.col("right")).alias("hi"))
+    spans = common.saved(spans.distinct())
+    common.dropped(both, reach)
+    return repeats.by_document(spans)
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -235,7 +326,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = numbered.withColumn("doc", F.xxhash64("doc_id", "text"))
-    return rows.join(removal_spans(rows.select("doc", "text"), length), "doc", "left").drop("doc")
+    return rows.join(removal_spans(rows.select("doc", "text"), length).hint("merge"), "doc", "left").drop("doc")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from alarmlens.llm import (
+    common,
     components,
     decontamination,
     language_id,
@@ -261,7 +262,7 @@ def test_components_of_a_path(spark):
 
 def test_anchors_are_in_every_window():
     codes = repeats.mixed(np.random.default_rng(1).integers(0, 5, 3000).astype(np.uint64))
-    _, _, anchor, lo, hi = repeats.anchors(codes, 15, 50)
+    _, anchor, lo, hi = repeats.anchors(codes, 15, 50)
     assert lo[0] == 0 and hi[-1] == 3000 - 50 and (lo[1:] == hi[:-1] + 1).all()
     assert (anchor >= hi).all() and (anchor <= lo + 35).all()
 
@@ -291,6 +292,26 @@ def test_substrings_of_earlier_documents(docs, empty):
     assert substring_dedup.removed(empty).count() == 0
 
 
+def test_substrings_of_rows_that_repeat_an_id(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abc"}
+    rows = [(1, text["a"]), (2, text["a"]), (2, text["b"]), (2, text["b"]), (3, text["b"] + " " + text["c"]), (None, text["b"]), (4, "")]
+    got = sorted([(r.doc_id or 0, len(substring_dedup.kept_words((r.text or "").encode(), r.spans)[0])) for r in substring_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()])
+    assert got == sorted([(1, 60), (2, 0), (2, 60), (2, 60), (3, 60), (0, 60), (4, 0)])
+
+
+def test_substring_dedup_query_equals_brute_force(spark):
+    rows = {r.doc_id: plain_words(r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+    want = [(i, len(rows[i]), len(rows[i]) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for i, kept in plain_removed(rows, 50).items()]
+    assert by_id(substring_dedup.query(spark, SMALL), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
+
+
+def test_frequent_keys_are_joined_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = common.saved(spark.createDataFrame([(k % 3 if k < 9 else k, k) for k in range(20)], "k long, v long"))
+    table = common.saved(rows.groupBy("k").count())
+    assert sorted(common.joined(rows, table, ["k"], "count").collect()) == sorted(rows.join(table, "k").select("k", "v", "count").collect())
+
+
 def test_deep_shallow_sorts():
     rng = np.random.default_rng(2)
     texts = ["".join(rng.choice(list("ab"), rng.integers(0, 30))).encode() for _ in range(300)] + [b"a" * 20] * 3
@@ -298,26 +319,70 @@ def test_deep_shallow_sorts():
     assert [texts[i] for i in order] == sorted(texts) and sorted(order) == list(range(len(texts)))
 
 
-@pytest.mark.parametrize("most_group", [4096, 1])
+def plain_bytes_elsewhere(texts):
+    """For each text, the places of bytes in strings of 200 bytes that start at another place too."""
+    counts = defaultdict(int)
+    for raw in texts:
+        for k in range(len(raw) - 199):
+            counts[hash(raw[k : k + 200])] += 1
+    out = []
+    for raw in texts:
+        gone, reach = set(), 0
+        for k in range(len(raw) - 199):
+            if counts[hash(raw[k : k + 200])] > 1:
+                gone.update(range(max(k, reach), k + 200))
+                reach = k + 200
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("most_group", [1 << 16, 1])
 def test_bytes_that_occur_elsewhere(spark, docs, most_group):
     rng = np.random.default_rng(9)
     block = "".join(rng.choice(list("abcdefgh é"), 400))
     more = [(20 + i, "".join(rng.choice(list("xyz "), 150)) + block[i * 7 : i * 7 + 190 + 5 * i] + "".join(rng.choice(list("uvw "), 90))) for i in range(12)]
-    rows = [(i, t) for i, t, *_ in ROWS if i != 5] + more
+    rows = [(i, t) for i, t, *_ in ROWS] + more + [(50, LONG + block), (51, "ab" * 300), (52, "ab" * 99), (53, block[:250] + "ab" * 150)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("doc", F.xxhash64("doc_id", "text"))
-    counts = defaultdict(int)
-    for _, t in rows:
-        raw = (t or "").encode()
-        for k in range(len(raw) - 199):
-            counts[raw[k : k + 200]] += 1
+    want = {t: gone for (_, t), gone in zip(rows, plain_bytes_elsewhere([(t or "").encode() for _, t in rows]))}
     spans = suffix_dedup.removal_spans(df.select("doc", "text"), most_group=most_group)
     for r in df.join(spans, "doc", "left").collect():
-        raw = (r.text or "").encode()
-        gone = {j for k in range(len(raw) - 199) if counts[raw[k : k + 200]] > 1 for j in range(k, k + 200)}
-        assert {j for s in r.spans or () for j in range(s.lo, s.hi)} == gone
+        assert {j for s in r.spans or () for j in range(s.lo, s.hi)} == want[r.text]
     assert suffix_dedup.removed(docs.where("false")).count() == 0 and suffix_dedup.removed(docs).count() == len(ROWS)
 
 
+def test_all_removed_bytes_come_from_sorted_neighbours():
+    rng = np.random.default_rng(4)
+    base = bytes(rng.choice(list(b"abc "), 400).tolist())
+    contexts, before = [], []
+    for i in range(40):
+        text = bytearray(base)
+        for at in rng.integers(0, 400, rng.integers(0, 4)):
+            if not 120 <= at < 168:
+                text[at] = 120 + int(rng.integers(0, 3))
+        contexts.append(bytes(text[: rng.integers(330, 401)]))
+        before.append(120)
+    got = suffix_dedup.shared_lengths(contexts, before, 200, 48)
+    for i, (left, right) in enumerate(got):
+        want = [0, 0]
+        for j in range(40):
+            n = suffix_dedup.common_prefix(contexts[i][:120][::-1], contexts[j][:120][::-1])
+            m = suffix_dedup.common_prefix(contexts[i][120:], contexts[j][120:])
+            if i != j and n + m >= 200:
+                want = [max(want[0], n), max(want[1], m)]
+        assert [left, right] == want
+
+
+def test_suffix_dedup_query_equals_brute_force(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    texts = [(r.text or "").encode() for r in rows]
+    want = []
+    for r, raw, gone in zip(rows, texts, plain_bytes_elsewhere(texts)):
+        kept = bytes(b for k, b in enumerate(raw) if k not in gone)
+        runs = sum(k - 1 not in gone for k in gone)
+        want.append((r.doc_id, len(raw), len(gone), runs, hashlib.sha256(kept).hexdigest()))
+    assert by_id(suffix_dedup.query(spark, SMALL), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+
+
 def test_languages_of_held_out_documents(spark, docs, empty):
     rows = language_id.query(spark, MEDIUM).join(spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     right = sum(r.lang == r.lang_pred for r in rows) / len(rows)

@@ -30,7 +30,7 @@ from alarmlens.llm import (
 )
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, MEDIUM, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, spans string, component_id long"
 PASSAGE = " ".join(f"shared{i}" for i in range(70))
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
@@ -178,15 +178,62 @@ def test_personal_data(docs, empty):
     assert out.columns == docs.columns and out.count() == len(ROWS) and not out.where("text LIKE '%4111 1111%' OR text LIKE '%@b.co%'").count()
 
 
-def test_skip_links_carry_a_label():
-    field = pii.Field(np.log([0.5, 0.1, 0.1, 0.2, 0.1]), {}, np.log(np.eye(5) * 0.95 + 0.01))
-    unary = np.array([[0, 0, 0, 12, 0], [0, 0, 0, 0, 0]], float) + field.prior
-    alone, linked = field.marginals(unary, [])[1], field.marginals(unary, [(0, 1)])[1]
-    assert alone.argmax() == 0 and linked.argmax() == 3
-    # on one link, message passing is exact
-    joint = unary[0][:, None] + unary[1][None] + field.link
-    exact = np.exp(joint - joint.max()).sum(axis=0)
-    assert field.marginals(unary, [(0, 1)], 60)[1] == pytest.approx(exact / exact.sum(), abs=1e-6)
+@pytest.fixture(scope="module")
+def fitted(spark):
+    """A field fitted on the documents with even ids."""
+    return pii.fit(spark.read.parquet(f"{LARGE}/documents.parquet").where("doc_id % 2 = 0"))
+
+
+def field_kinds(text, field):
+    return [(kind, text[a:b]) for kind, spans in zip(pii.KINDS, pii.field_spans(text, pii.base_spans(text), field)) for a, b in spans]
+
+
+def test_message_passing_is_exact_on_one_link():
+    rng = np.random.default_rng(5)
+    field = pii.Field(np.zeros(5), np.zeros((pii.FEATURES, 5)), rng.normal(size=(3, 5, 5)))
+    unary = rng.normal(size=(2, 5))
+    joint = unary[0][:, None] + unary[1][None] + field.links[pii.REPEAT]
+    exact = np.exp(joint - joint.max())
+    got = field.marginals(unary, [(0, 1, pii.REPEAT)], 60)
+    assert got[0] == pytest.approx(exact.sum(axis=1) / exact.sum(), abs=1e-6) and got[1] == pytest.approx(exact.sum(axis=0) / exact.sum(), abs=1e-6)
+
+
+def test_variants_are_found_by_skip_links_alone(fitted, monkeypatch):
+    cases = [
+        ("call +1 (212) 555-0199 today. Later we met, or dial 212 555 0199 again", [("phone", "212 555 0199")]),
+        ("mail john.doe@example.com, that is john.doe (at) example (dot) com", [("email", "john.doe (at) example (dot) com")]),
+    ]
+    for text, want in cases:
+        assert field_kinds(text, fitted) == want and field_kinds(text[len(text) // 2 - 3 :], fitted) == []
+    monkeypatch.setattr(pii, "links", lambda text, spans: [])
+    assert all(field_kinds(text, fitted) == [] for text, _ in cases)
+
+
+def test_masked_labels_of_held_out_documents(spark, fitted):
+    texts = [r.text for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").where("doc_id % 2 = 1 AND text IS NOT NULL").collect()]
+    right = n = 0
+    for text in texts:
+        spans, base = pii.candidates(text), pii.base_spans(text)
+        if spans:  # beliefs without any label as evidence
+            beliefs = fitted.marginals(fitted.unary([pii.features(text, *s) for s in spans]), pii.links(text, spans))
+            right += sum(int(p.argmax()) == pii.label_of(s, base) for s, p in zip(spans, beliefs))
+            n += len(spans)
+    assert n > 20 and right / n >= 0.95
+
+
+def test_sample_of_the_field_is_bounded(spark, docs):
+    documents = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    assert len(pii.sample(documents, 7)) == 7 and len(pii.sample(documents, 2000, 100)) < 40
+    assert pii.trained(pii.sample(docs.where("false"))).bias.tolist() == [0.0] * 5
+
+
+def test_personal_data_query_equals_patterns_and_field(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet")
+    field, want = pii.fit(rows), {}
+    for r in rows.collect():
+        base = pii.base_spans(r.text or "")
+        want[r.doc_id] = ",".join(f"{k}:{a}:{b}" for k, x, y in zip(pii.KINDS, base, pii.field_spans(r.text or "", base, field)) for a, b in sorted(x + y))
+    assert {r.doc_id: r.spans for r in pii.query(spark, SMALL).collect()} == want
 
 
 def test_media_round_trip(spark, docs, empty):

@@ -151,15 +151,48 @@ def test_decontamination(spark, docs, empty):
                     hit.update(range(k, k + len(x)))
                     who.add(item)
         want.append((i, len(w), sorted(hit), sorted(who)))
-    for bound in (1 << 20, 20):  # one automaton, and several passes
+    for bound in (1 << 20, 1):  # one automaton, and several
         assert by_id(decontamination.scan(docs, items, bound), "doc_id", "n_words", "hits", "items") == sorted(want, key=repr)
     assert decontamination.scan(empty, items).count() == 0 and decontamination.scan(docs, items.where("false")).where(F.size("hits") > 0).count() == 0
-    kept = decontamination.keep_clean(docs, items)
-    assert kept.columns == docs.columns and kept.count() == sum(not x[2] for x in want)
+    for bound in (1 << 20, 1):
+        kept = decontamination.keep_clean(docs, items, bound)
+        assert kept.columns == docs.columns and kept.count() == sum(not x[2] for x in want)
     for r in decontamination.spans(decontamination.scan(docs, items)).collect():
         assert sum(len(word.findall(lower(r.text[s.start : s.end]))) for s in r.hit_spans) == len(r.hits)
 
 
+def test_blocks_bound_the_automaton(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{(i * 37 + k) % 501}" for k in range(60))) for i in range(30)], "item_id long, text string")
+    parts = decontamination.blocks(items, 300)
+    scanners = [decontamination.Scanner(b.value.value) for b in parts]
+    assert len(parts) > 4 and all(len(s.automaton) <= 300 for s in scanners)
+    assert decontamination.pieces([b"w"] * 2000)[-1] == (b" ".join([b"w"] * 464), 455) and sum(n for _, n in decontamination.pieces([b"w"] * 2000)) == 1991
+    words = [f"w{k % 501}".encode() for k in range(700)]
+    got = [s.scan(words) for s in scanners]
+    whole = decontamination.Scanner([(str(r.item_id), r.text.encode()) for r in items.collect()]).scan(words)
+    assert (sorted({x for h, _ in got for x in h}), sorted({x for _, w in got for x in w})) == whole
+
+
+def test_decontamination_query_equals_brute_force(spark):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    folded = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    owners = defaultdict(set)
+    for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect():
+        w = folded(r.text)
+        for k in range(max(1, len(w) - 9) if w else 0):
+            owners[tuple(w[k : k + 10])].add(str(r.item_id))
+    want = []
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        w, hit, who = folded(r.text), set(), set()
+        for n in {len(x) for x in owners}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in owners:
+                    hit.update(range(k, k + n))
+                    who |= owners[tuple(w[k : k + n])]
+        want.append((r.doc_id, len(w), len(hit), len(who), hashlib.sha256(",".join(sorted(who)).encode()).hexdigest(), bool(hit)))
+    assert by_id(decontamination.query(spark, SMALL), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want, key=repr)
+
+
 def test_personal_data(docs, empty):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

@@ -119,7 +119,7 @@ def blocks(benchmark: DataFrame, most_windows: int = MOST_WINDOWS) -> list[_Bloc
     while True:
         part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
         largest = cut.groupBy(part.alias("part")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pieces")).agg(F.max(F.when(F.col("pieces") > 1, F.col("n")))).first()[0] or 0
-        if largest <= max(most_windows, 2 * PIECE_WINDOWS):
+        if largest <= most_windows:
             break
         n *= 2
     out = [_Block(spark, [(r.item_id, bytes(r.text)) for r in cut.where(part == i).collect()]) for i in range(n)]

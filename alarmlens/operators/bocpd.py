@@ -1,58 +1,189 @@
-"""Bayesian online change-point detection with forgetting; one segment at a time, whose length bounds a group."""
+"""The detector: a local-linear-trend Kalman filter, whose standardised innovations go through Bayesian online change-point detection.
+
+Both are recursions over a segment's samples. Segments stream through a task in order, and only the state at the current sample
+is held: five numbers for the filter, and three vectors over run lengths for the detector.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from alarmlens.operators import profile
 
 # Fixed values of the method.
 HAZARD, KAPPA_MAX, MU0, KAPPA0, ALPHA0, BETA0 = 1 / 250.0, 40.0, 0.0, 1.0, 1.0, 1.0
-ONSET = "channel string, segment long, onset long, confirm long, confidence double"
-
-
-def run_lengths(x: np.ndarray, forgetting: bool = True) -> list[np.ndarray]:
-    """The posterior of the run length after each value."""
-    p = np.ones(1)
-    mu, kappa, alpha, beta = (np.array([v]) for v in (MU0, KAPPA0, ALPHA0, BETA0))
-    out = []
-    for value in x:
-        scale2 = beta * (kappa + 1) / (alpha * kappa)
-        gamma = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in alpha])
-        density = np.exp(gamma - (alpha + 0.5) * np.log1p((value - mu) ** 2 / (2 * alpha * scale2))) / np.sqrt(2 * math.pi * alpha * scale2)
-        weight = p * np.where(np.isnan(density), 1e-12, density)
-        p = np.concatenate([[weight.sum() * HAZARD], weight * (1 - HAZARD)])
+LONG_RUN, SHORT_RUN, TOP_RUNS, LEAST_POSTERIOR = 5, 2, 30, 1e-6
+VARIANCE_CLIP, LEAST_SAMPLES = 1e-8, 5
+FIRST_CANDIDATE, LAST_CANDIDATE = 10, 5
+FOUND = "n_points long, onset long, confirm long, confidence double, runs array<struct<run:long,p:double>>, candidates array<struct<onset:long,p:double>>"
+
+
+class Tables:
+    """What depends on the run length alone: kappa, alpha, the share that forgetting leaves of beta, and the density's constant."""
+
+    def __init__(self, forgetting: bool):
+        self.forgetting, self.n = forgetting, 0
+        self.kappa, self.alpha, self.share, self.constant = (np.empty(0) for _ in range(4))
+
+    def up_to(self, n: int) -> Tables:
+        if n > self.n:
+            self.n = max(2 * self.n, n, 256)
+            kappa, alpha = [KAPPA0], [ALPHA0]
+            share = [1.0]
+            for _ in range(self.n - 1):
+                k, a = kappa[-1] + 1, alpha[-1] + 0.5
+                s = min(1.0, KAPPA_MAX / k) if self.forgetting else 1.0
+                share.append(s)
+                kappa.append(k * s)
+                alpha.append(max(a * s, 1e-3))
+            self.kappa, self.alpha, self.share = np.array(kappa), np.array(alpha), np.array(share)
+            self.constant = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in alpha])
+        return self
+
+
+class Filter:
+    """Innovations of one segment, and their variances. r has the measurement noise, theta and the quantisation floor together."""
+
+    def __init__(self, r: float, q: float):
+        if r < 0 or q < 0:
+            raise ValueError("noise variances must not be negative")
+        self.r, self.q, self.state = r, q, (0.0, 0.0, 10.0, 0.0, 10.0)
+
+    def step(self, y: float) -> tuple[float, float]:
+        x0, x1, a, b, c = self.state
+        level, p00, p01, p11 = x0 + x1, a + 2 * b + c, b + c, c + self.q
+        s, nu = p00 + self.r, y - level
+        k0, k1 = p00 / s, p01 / s
+        self.state = level + k0 * nu, x1 + k1 * nu, p00 - k0 * p00, p01 - k0 * p01, p11 - k1 * p01
+        return nu, s
+
+
+class RunLengths:
+    """The posterior p of the run length, after each value."""
+
+    def __init__(self, tables: Tables):
+        self.tables, self.p, self.mu, self.beta = tables, np.ones(1), np.array([MU0]), np.array([BETA0])
+
+    def step(self, x: float) -> np.ndarray:
+        n = len(self.p)
+        t = self.tables.up_to(n + 1)
+        kappa, alpha = t.kappa[:n], t.alpha[:n]
+        off = (x - self.mu) ** 2
+        width = 2 * self.beta * (kappa + 1) / kappa
+        density = np.exp(t.constant[:n] - (alpha + 0.5) * np.log1p(off / width)) / np.sqrt(math.pi * width)
+        weight = self.p * np.where(np.isnan(density), 1e-12, density)
+        p = np.empty(n + 1)
+        p[0], p[1:] = weight.sum() * HAZARD, weight * (1 - HAZARD)
         total = p.sum()
-        p = p / total if total > 0 and np.isfinite(total) else np.eye(1, len(p))[0]
-        out.append(p)
-        beta = np.concatenate([[BETA0], beta + kappa * (value - mu) ** 2 / (2 * (kappa + 1))])
-        mu = np.concatenate([[MU0], (kappa * mu + value) / (kappa + 1)])
-        kappa, alpha = np.concatenate([[KAPPA0], kappa + 1]), np.concatenate([[ALPHA0], alpha + 0.5])
-        if forgetting:
-            share = np.minimum(1.0, KAPPA_MAX / kappa)
-            kappa, alpha, beta = kappa * share, np.maximum(alpha * share, 1e-3), beta * share
-    return out
-
-
-def onset(posteriors: list[np.ndarray]) -> tuple[int, int, float] | None:
-    """(onset, confirmation, confidence): the first fall of the likeliest run length from over 5 to 2 or less."""
-    before = 0
-    for t, p in enumerate(posteriors):
-        likeliest = int(p.argmax())
-        if t and likeliest <= 2 and before > 5:
-            return t - likeliest, t, float(p[:3].sum())
-        before = likeliest
-    return None
-
-
-def onsets(innovations: DataFrame, forgetting: bool = True) -> DataFrame:
-    """One row a segment of (channel, segment, t, nu, s): where a change is first confirmed, nulls if nowhere."""
-
-    def detect(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        found = onset(run_lengths((rows["nu"] / np.sqrt(np.maximum(rows["s"], 1e-8))).to_numpy(), forgetting)) or (None, None, None)
-        return pd.DataFrame([(*key, *found)], columns=["channel", "segment", "onset", "confirm", "confidence"]).astype({"onset": "Int64", "confirm": "Int64", "confidence": "float64"})
-
-    return innovations.select("channel", "segment", "t", "nu", "s").groupBy("channel", "segment").applyInPandas(detect, ONSET)
+        if total > 0 and math.isfinite(total):
+            p /= total
+        else:
+            p[:] = 0
+            p[0] = 1
+        self.beta = np.concatenate([[BETA0], (self.beta + kappa * off / (2 * (kappa + 1))) * t.share[1 : n + 1]])
+        self.mu = np.concatenate([[MU0], (kappa * self.mu + x) / (kappa + 1)])
+        self.p = p
+        return p
+
+
+class Segment:
+    """What is known of a segment so far. whole: go on after the first onset, to the last posterior."""
+
+    def __init__(self, r: float, q: float, tables: Tables, whole: bool):
+        self.filter, self.lengths, self.whole = Filter(r, q), RunLengths(tables), whole
+        self.n, self.before, self.found = 0, 0, None
+
+    def step(self, y: float) -> None:
+        self.n += 1
+        if self.found and not self.whole:
+            return
+        nu, s = self.filter.step(y)
+        p = self.lengths.step(nu / math.sqrt(max(s, VARIANCE_CLIP)))
+        likeliest, t = int(p.argmax()), self.n - 1
+        if not self.found and t and likeliest <= SHORT_RUN and self.before > LONG_RUN:
+            runs = [{"run": r, "p": float(x)} for r, x in enumerate(p[:TOP_RUNS]) if x > LEAST_POSTERIOR]
+            self.found = t - likeliest, t, float(p[: SHORT_RUN + 1].sum()), runs
+        self.before = likeliest
+
+    def row(self) -> tuple:
+        candidates = None
+        if self.whole:
+            at = self.n - 1 - np.arange(len(self.lengths.p))
+            keep = (at >= FIRST_CANDIDATE) & (at <= self.n - LAST_CANDIDATE)
+            p, at = self.lengths.p[keep], at[keep]
+            candidates = [{"onset": int(i), "p": float(x)} for i, x in zip(at[::-1], (p / p.sum())[::-1])] if p.sum() > 0 else []
+        found = self.found if self.n >= LEAST_SAMPLES else None
+        return self.n, *(found or (None, None, None, None)), candidates
+
+
+def detect(samples: DataFrame, params: DataFrame, by: tuple = ("channel", "segment"), forgetting: bool = True, whole: bool = False) -> DataFrame:
+    """One row for each segment: its onset (nulls if none), the run lengths at its confirmation, and with whole the candidate onsets by the last posterior.
+
+    params has r and q (and forgetting, where it varies) for each channel, or each of by's other columns and channel; it is a
+    few rows. A segment of fewer than five samples has no onset. A null value counts for a missing sample.
+    """
+    on = [c for c in params.columns if c not in ("r", "q", "forgetting")]
+    flag = F.col("forgetting") if "forgetting" in params.columns else F.lit(forgetting)
+    rows = samples.where("value IS NOT NULL").join(params, [c for c in on if c in samples.columns]).select(*by, "t", "value", "r", "q", flag.alias("forgetting"))
+    schema = T.StructType([*rows.select(*by).schema.fields, *T.StructType.fromDDL(FOUND).fields])
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = {flag: Tables(flag) for flag in (True, False)}
+        key, segment, made = None, None, []
+
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made), out)], schema=out)
+
+        for batch in batches:
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(len(by)))))
+            values, r, q, flags = (batch.column(len(by) + 1 + i).to_pylist() for i in range(4))
+            for name, value, r_, q_, flag in zip(names, values, r, q, flags):
+                if name != key:
+                    if segment:
+                        made.append((*key, *segment.row()))
+                    key, segment = name, Segment(r_, q_, tables[flag], whole)
+                segment.step(value)
+            if len(made) >= 256:
+                yield emit()
+                made.clear()
+        if segment:
+            made.append((*key, *segment.row()))
+        if made:
+            yield emit()
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "t").mapInArrow(run, schema)
+
+
+def fitted(samples: DataFrame, mixture: bool, theta: float = 0.0) -> DataFrame:
+    """(channel, r, q): variances of the nominal samples, shrunken over channels; r with theta and the quantisation floor step ** 2 / 12."""
+    noise = profile.noise_mixture(samples) if mixture else profile.noise_simple(samples)
+    r = profile.shrink(noise.select("channel", "r", "n_diff"), "r", "n_diff").select("channel", F.col("shrunk").alias("r"))
+    q = profile.shrink(noise.select("channel", "q", "n_diff"), "q", "n_diff").select("channel", F.col("shrunk").alias("q"))
+    step = profile.channel_profile(samples).select("channel", F.coalesce(F.col("quantization_step") * F.col("quantization_step") / 12, F.lit(0.0)).alias("floor"))
+    return r.join(q, "channel").join(step, "channel").select("channel", (F.col("r") + theta + F.col("floor")).alias("r"), "q")
+
+
+def posteriors(found: DataFrame, by: tuple = ("channel", "segment")) -> DataFrame:
+    """A row for each run length that is likely where a change is confirmed, with the onset that it means."""
+    rows = found.where("onset IS NOT NULL").select(*by, "confirm", F.explode("runs").alias("x"))
+    return rows.select(*by, "confirm", F.col("x.run").alias("run_length"), (F.col("confirm") - F.col("x.run")).alias("candidate_onset"), F.col("x.p").alias("p"))
+
+
+def calibration(found: DataFrame, labels: DataFrame, by: tuple = ("channel",)) -> DataFrame:
+    """Segments, detections, recall and false-alarm rate (null without segments of the class) and MCC."""
+    rows = found.join(labels, ["channel", "segment"]).withColumn("hit", F.col("onset").isNotNull())
+    cells = {"tp": (1, True), "fn": (1, False), "fp": (0, True), "tn": (0, False)}
+    counts = rows.groupBy(*by).agg(*[F.count_if((F.col("anomaly") == x) & (F.col("hit") == y)).cast("double").alias(n) for n, (x, y) in cells.items()])
+    tp, fn, fp, tn = (F.col(c) for c in cells)
+    product = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
+    mcc = F.when(product > 0, (tp * tn - fp * fn) / F.sqrt(F.when(product > 0, product))).otherwise(0.0)
+    return counts.select(*by, *cells, F.try_divide(tp, tp + fn).alias("recall"), F.try_divide(fp, fp + tn).alias("false_alarm_rate"), mcc.alias("mcc"))

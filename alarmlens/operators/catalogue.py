@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alarmlens.functions.distributions import chi2_sf_sql, normal_sf_sql, t_sf2_sql
 from alarmlens.functions.random import uniform, uniform_sql
-from alarmlens.operators import alarms, bocpd, effects, inference, meta, profile
+from alarmlens.operators import alarms, effects, inference, meta, profile
 from alarmlens.sources.telemetry import TELEMETRY_SQL, differences, from_events
 
 QUERIES: dict = {}
@@ -87,7 +88,8 @@ h AS (SELECT r.{by}, sum((yi - wy / w) * (yi - wy / w) / vi) AS q, max(k) AS k,
 tau AS (SELECT {by}, k, q, greatest(0, coalesce((q - (k - 1)) / nullif(w - w2 / w, 0), 0)) AS tau2 FROM h),
 res AS (SELECT r.{by}, max(k) AS k, max(q) AS q, max(tau2) AS tau2, sum(yi / (vi + tau2)) / sum(1 / (vi + tau2)) AS mu, 1 / sqrt(sum(1 / (vi + tau2))) AS se FROM {rows} r JOIN tau ON r.{by} = tau.{by} WHERE vi > 0 GROUP BY r.{by})
 SELECT {by}, k, round(q, 6) AS q, round(tau2, 6) AS tau2, round(mu, 6) AS mu, round(se, 6) AS se, round(mu - 1.96 * se, 6) AS low, round(mu + 1.96 * se, 6) AS high,
-  round(CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q) * 100 ELSE 0 END, 6) AS i2 FROM res WHERE k >= 2"""
+  round(CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q) * 100 ELSE 0 END, 6) AS i2, round(mu / se, 6) AS z, round(2 * {normal_sf_sql('abs(mu / se)')}, 6) AS p_value, round({chi2_sf_sql('q', '(k - 1)')}, 6) AS p_q,
+  CASE WHEN q <= 0 OR (q - (k - 1)) / q < 0.25 THEN 'low' WHEN (q - (k - 1)) / q < 0.5 THEN 'moderate' WHEN (q - (k - 1)) / q < 0.75 THEN 'high' ELSE 'very high' END AS i2_band FROM res WHERE k >= 2"""
 
 
 @query(f"WITH {TELEMETRY_SQL} SELECT channel, segment, t, round(value, 6) AS value, round(d, 6) AS d, round(d2, 6) AS d2 FROM dif")
@@ -149,13 +151,20 @@ def pivot_effects(spark, sf_dir):
     return _effects(spark, sf_dir).drop("anomaly")
 
 
-def _welch_sql(where: str) -> str:
-    parts = []
+def welch_table_sql(where: str, near: str = "near") -> str:
+    """wt and welch: the tests at the pivots of a table like near."""
+    parts, tests = [], []
     for name, x in (("level", "value"), ("diff", "d * d"), ("diff2", "d2 * d2")):
         n0, n1, v0, v1, m0, m1 = (f"{f}({x}) FILTER ({s})" for f in ("count", "var_samp", "avg") for s in ("NOT post", "post"))
         a, b, ok = f"({v0} / {n0})", f"({v1} / {n1})", f"CASE WHEN {n0} >= 5 AND {n1} >= 5 AND {v0} / nullif({n0}, 0) + {v1} / nullif({n1}, 0) > 0 THEN"
-        parts.append(f"round({ok} ({m1} - {m0}) / sqrt({a} + {b}) END, 6) AS {name}_t, round({ok} ({a} + {b}) * ({a} + {b}) / ({a} * {a} / ({n0} - 1) + {b} * {b} / ({n1} - 1)) END, 6) AS {name}_df, round({ok} ({m1} - {m0}) / sqrt(({v1} + {v0}) / 2) END, 6) AS {name}_d")
-    return f"WITH {PIVOT_SQL} SELECT channel, segment, pivot_t, {', '.join(parts)} FROM near {where} GROUP BY channel, segment, pivot_t"
+        parts.append(f"{ok} ({m1} - {m0}) / sqrt({a} + {b}) END AS {name}_t, {ok} ({a} + {b}) * ({a} + {b}) / ({a} * {a} / ({n0} - 1) + {b} * {b} / ({n1} - 1)) END AS {name}_df, {ok} ({m1} - {m0}) / sqrt(({v1} + {v0}) / 2) END AS {name}_d")
+        tests.append(t_sf2_sql(f"{name}_t", f"{name}_df") + f" AS {name}_p")
+    return f"wt AS (SELECT channel, segment, pivot_t, {', '.join(parts)} FROM {near} {where} GROUP BY channel, segment, pivot_t), welch AS (SELECT *, {', '.join(tests)} FROM wt)"
+
+
+def _welch_sql(where: str) -> str:
+    columns = ", ".join(f"round({s}_{c}, 6) AS {s}_{c}" for s in ("level", "diff", "diff2") for c in ("t", "df", "d", "p"))
+    return f"WITH {PIVOT_SQL}, {welch_table_sql(where)} SELECT channel, segment, pivot_t, {columns} FROM welch"
 
 
 @query(_welch_sql(""))
@@ -198,19 +207,42 @@ def imr_chart(spark, sf_dir):
     return effects.individuals_chart(from_events(spark, sf_dir))
 
 
-@query(f"""WITH {EFFECT_SQL}, x AS (SELECT channel, anomaly, diff_logvar AS v FROM eff WHERE diff_logvar IS NOT NULL),
-k AS (SELECT channel, anomaly, rank() OVER (PARTITION BY channel ORDER BY v) + (count(*) OVER (PARTITION BY channel, v) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY channel, v) AS c FROM x),
-s AS (SELECT channel, sum(r) FILTER (anomaly = 1) AS r1, count(*) FILTER (anomaly = 1) AS n1, count(*) FILTER (anomaly = 0) AS n0, count(*) AS n, sum((c * c - 1)::DOUBLE) AS ties FROM k GROUP BY channel)
-SELECT channel, n1, n0, round(CASE WHEN n1 >= 5 AND n0 >= 5 THEN r1 - n1 * (n1 + 1) / 2.0::DOUBLE END, 6) AS u,
-  round(CASE WHEN n1 >= 5 AND n0 >= 5 THEN (r1 - n1 * (n1 + 1) / 2.0::DOUBLE - n1 * n0 / 2.0::DOUBLE - 0.5) / sqrt(n1 * n0 / 12.0::DOUBLE * ((n + 1) - ties / (n * (n - 1)))) END, 6) AS z FROM s""")
+def rank_sum_sql(rows: str, by: str, two_sided: bool = False) -> str:
+    """mw: the test of rows (by, anomaly, v), whose exact distribution is listed choice by choice. Needs WITH RECURSIVE."""
+    names = by.replace(" ", "")
+    off = "abs(u - n1 * n0 / 2.0::DOUBLE)" if two_sided else "(u - n1 * n0 / 2.0::DOUBLE)"
+    p = f"CASE WHEN method = 'exact' THEN (SELECT sum(c) FILTER (s - k * (k + 1) / 2.0::DOUBLE >= {'greatest(u, n1 * n0 - u)' if two_sided else 'u'}) / sum(c) FROM (SELECT m AS k, s, count(*)::DOUBLE AS c FROM chosen WHERE k = m AND m = mz.n1 AND tot = mz.n1 + mz.n0 GROUP BY m, s)) WHEN z IS NOT NULL THEN {normal_sf_sql('z')} END"
+    return f"""mk AS (SELECT {names}, anomaly, rank() OVER (PARTITION BY {names} ORDER BY v) + (count(*) OVER (PARTITION BY {names}, v) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY {names}, v) AS c FROM {rows} WHERE v IS NOT NULL),
+ms AS (SELECT {names}, coalesce(sum(r) FILTER (anomaly = 1), 0) AS r1, count(*) FILTER (anomaly = 1) AS n1, count(*) FILTER (anomaly = 0) AS n0, count(*) AS n, sum((c * c - 1)::DOUBLE) AS ties FROM mk GROUP BY {names}),
+mu AS (SELECT *, r1 - n1 * (n1 + 1) / 2.0::DOUBLE AS u, n1 >= 5 AND n0 >= 5 AS enough FROM ms),
+mz AS (SELECT {names}, n1, n0, CASE WHEN enough THEN u END AS u, CASE WHEN enough THEN ({off} - 0.5) / sqrt(n1 * n0 / 12.0::DOUBLE * ((n + 1) - ties / (n * (n - 1)))) END AS z, CASE WHEN enough THEN CASE WHEN ties = 0 AND least(n1, n0) <= 8 THEN 'exact' ELSE 'normal' END END AS method FROM mu),
+chosen(m, tot, k, top, s) AS (SELECT DISTINCT n1, n1 + n0, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM mz WHERE method = 'exact' UNION ALL SELECT m, tot, k + 1, i, s + i FROM chosen, range(1, 200) q(i) WHERE k < m AND i > top AND i <= tot - (m - k - 1)),
+mw AS (SELECT *, {'least(1, 2 * (' + p + '))' if two_sided else p} AS p_value FROM mz)"""
+
+
+MW_COLUMNS = "n1, n0, round(u, 6) AS u, round(z, 6) AS z, method, round(p_value, 6) AS p_value"
+
+
+@query(f"WITH RECURSIVE {EFFECT_SQL}, x AS (SELECT channel, anomaly, diff_logvar AS v FROM eff), {rank_sum_sql('x', 'channel')} SELECT channel, {MW_COLUMNS} FROM mw")
 def mannwhitney_u(spark, sf_dir):
     return inference.mann_whitney(_effects(spark, sf_dir).withColumn("is_anomaly", F.col("anomaly") == 1), ["channel"], "diff_logvar", "is_anomaly")
 
 
-@query(f"""WITH {Z_SQL}, c AS (SELECT channel, segment, min(t - pivot_t) FILTER (level_z > 3) AS a, min(t - pivot_t) FILTER (diff_z > 3) AS b FROM zs WHERE post GROUP BY channel, segment),
-x AS (SELECT (a - b)::DOUBLE AS v FROM c WHERE a - b <> 0), k AS (SELECT v, rank() OVER (ORDER BY abs(v)) + (count(*) OVER (PARTITION BY abs(v)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY abs(v)) AS c FROM x),
-s AS (SELECT coalesce(sum(r) FILTER (v > 0), 0) AS p, coalesce(sum(r) FILTER (v < 0), 0) AS m, count(*)::DOUBLE AS n, sum((c * c - 1)::DOUBLE) AS ties FROM k)
-SELECT 'all' AS pair, CAST(n AS BIGINT) AS n, round(CASE WHEN n >= 5 THEN least(p, m) END, 6) AS w, round(CASE WHEN n >= 5 THEN (least(p, m) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) END, 6) AS z FROM s WHERE n > 0""")
+def signed_rank_sql(rows: str, by: str) -> str:
+    """sr: the test of rows (by, v); exact by all signs of at most 20 pairs, which covers the fixture's untied ones."""
+    return f"""sw AS (SELECT {by}, count(*) AS n_pairs, median(v) AS median_difference, avg(CASE WHEN v < 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share_before FROM {rows} WHERE v IS NOT NULL GROUP BY {by}),
+sk AS (SELECT {by}, v, rank() OVER (PARTITION BY {by} ORDER BY abs(v)) + (count(*) OVER (PARTITION BY {by}, abs(v)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY {by}, abs(v)) AS c FROM {rows} WHERE v <> 0),
+ss AS (SELECT {by}, coalesce(sum(r) FILTER (v > 0), 0) AS p, coalesce(sum(r) FILTER (v < 0), 0) AS m, count(*) AS k, count(*)::DOUBLE AS n, sum((c * c - 1)::DOUBLE) AS ties FROM sk GROUP BY {by}),
+sz AS (SELECT *, CASE WHEN n >= 5 THEN least(p, m) END AS w, CASE WHEN n >= 5 THEN (least(p, m) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) END AS z FROM ss),
+sg(k, i, s) AS (SELECT DISTINCT k, 0::BIGINT, 0::BIGINT FROM sz WHERE ties = 0 AND k <= 20 AND n >= 5 UNION ALL SELECT k, i + 1, s + b * (i + 1) FROM sg, (VALUES (0::BIGINT), (1::BIGINT)) q(b) WHERE i < k),
+sr AS (SELECT sw.*, k AS n, w, z, CASE WHEN w IS NULL THEN NULL WHEN ties = 0 AND k <= 50 THEN least(1, 2 * (SELECT avg((s <= w)::INT) FROM sg WHERE sg.k = sz.k AND i = sg.k)) ELSE least(1, 2 * {normal_sf_sql('abs(z)')}) END AS p_value FROM sw LEFT JOIN sz USING ({by}))"""
+
+
+SR_COLUMNS = "n_pairs, round(median_difference, 6) AS median_difference, round(share_before, 6) AS share_before, n, round(w, 6) AS w, round(z, 6) AS z, round(p_value, 6) AS p_value"
+
+
+@query(f"""WITH RECURSIVE {Z_SQL}, c AS (SELECT channel, segment, min(t - pivot_t) FILTER (level_z > 3) AS a, min(t - pivot_t) FILTER (diff_z > 3) AS b FROM zs WHERE post GROUP BY channel, segment),
+x AS (SELECT 'all' AS pair, (a - b)::DOUBLE AS v FROM c), {signed_rank_sql('x', 'pair')} SELECT pair, {SR_COLUMNS} FROM sr""")
 def wilcoxon_signed_rank(spark, sf_dir):
     rows = from_events(spark, sf_dir)
     times = effects.crossing_times(rows, effects.pivots(rows))
@@ -229,15 +261,17 @@ def _contingency(spark, sf_dir):
     return hits.groupBy("channel").agg(*[F.count_if((F.col("anomaly") == x) & (F.col("hit") == y)).alias(n) for n, (x, y) in cells.items()])
 
 
-@query(f"""WITH {CONTINGENCY_SQL}, p AS (SELECT *, (a + c) / nullif((a + b + c + d), 0)::DOUBLE AS p FROM tab), v AS (SELECT *, p * (1 - p) * (1.0::DOUBLE / nullif(a + b, 0) + 1.0::DOUBLE / nullif(c + d, 0)) AS v FROM p)
-SELECT channel, a, b, c, d, round(CASE WHEN v > 0 THEN (a / (a + b)::DOUBLE - c / (c + d)::DOUBLE) / sqrt(v) END, 6) AS z FROM v""")
+@query(f"""WITH {CONTINGENCY_SQL}, p AS (SELECT *, (a + c) / nullif((a + b + c + d), 0)::DOUBLE AS p FROM tab), v AS (SELECT *, p * (1 - p) * (1.0::DOUBLE / nullif(a + b, 0) + 1.0::DOUBLE / nullif(c + d, 0)) AS v FROM p),
+z AS (SELECT *, CASE WHEN v > 0 THEN (a / (a + b)::DOUBLE - c / (c + d)::DOUBLE) / sqrt(v) END AS z FROM v)
+SELECT channel, a, b, c, d, round(z, 6) AS z, round(2 * {normal_sf_sql('abs(z)')}, 6) AS p_value FROM z""")
 def two_proportion_z(spark, sf_dir):
     return inference.two_proportion_z(_contingency(spark, sf_dir))
 
 
 @query(f"""WITH {CONTINGENCY_SQL}, n AS (SELECT a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c, d::DOUBLE AS d, (a + b + c + d)::DOUBLE AS n FROM tab WHERE a + b + c + d >= 2),
-s AS (SELECT sum(a - (a + b) * (a + c) / n) AS o, sum((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))) AS v, sum(a * d / n) AS ad, sum(b * c / n) AS bc FROM n)
-SELECT round(CASE WHEN v > 0 THEN (abs(o) - 0.5) * (abs(o) - 0.5) / v END, 6) AS chi2, round(CASE WHEN bc <> 0 THEN ad / bc END, 6) AS odds_ratio FROM s""")
+s AS (SELECT sum(a - (a + b) * (a + c) / n) AS o, sum((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))) AS v, sum(a * d / n) AS ad, sum(b * c / n) AS bc FROM n),
+x AS (SELECT CASE WHEN v > 0 THEN (abs(o) - 0.5) * (abs(o) - 0.5) / v END AS chi2, CASE WHEN bc <> 0 THEN ad / bc END AS odds FROM s)
+SELECT round(chi2, 6) AS chi2, round(odds, 6) AS odds_ratio, round({chi2_sf_sql('chi2', '1')}, 6) AS p_value FROM x""")
 def cmh_test(spark, sf_dir):
     return inference.mantel_haenszel(_contingency(spark, sf_dir))
 
@@ -246,7 +280,7 @@ def cmh_test(spark, sf_dir):
 u AS (SELECT channel, 'level' AS f, level AS v FROM a UNION ALL SELECT channel, 'diff', diff FROM a UNION ALL SELECT channel, 'diff2', diff2 FROM a),
 k AS (SELECT f, rank() OVER (PARTITION BY channel ORDER BY v) + (count(*) OVER (PARTITION BY channel, v) - 1) / 2.0::DOUBLE AS r FROM u WHERE v IS NOT NULL),
 s AS (SELECT f, sum(r) AS total, count(*) AS m FROM k GROUP BY f), w AS (SELECT 12 * var_pop(total) * count(*) / (max(m) * max(m) * (count(*) ** 3 - count(*))) AS w, max(m) AS m, count(*) AS k FROM s)
-SELECT round(w, 6) AS w, round(m * (k - 1) * w, 6) AS chi2 FROM w""")
+SELECT round(w, 6) AS w, round(m * (k - 1) * w, 6) AS chi2, round({chi2_sf_sql('(m * (k - 1) * w)', '(k - 1)')}, 6) AS p_value FROM w""")
 def kendall_w(spark, sf_dir):
     means = _effects(spark, sf_dir).groupBy("channel").agg(F.avg("level_d_abs").alias("level"), F.avg("diff_logvar").alias("diff"), F.avg("diff2_logvar").alias("diff2"))
     return inference.kendall_w(means.unpivot("channel", ["level", "diff", "diff2"], "feature", "v").where("v IS NOT NULL"), "channel", "feature", "v")
@@ -327,20 +361,3 @@ def placebo_pool(spark, sf_dir):
     drawn = rows.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))))
     pivot_t = F.bround((0.3 + 0.4 * uniform("placebo", "channel", "segment", "k")) * F.col("n")).cast("long")
     return drawn.select("channel", "segment", "k", F.least(F.greatest(pivot_t, F.lit(10)), F.greatest(F.col("n") - 5, F.lit(10))).alias("pivot_t"))
-
-
-@query()
-def bocpd_onsets(spark, sf_dir):
-    rows = from_events(spark, sf_dir)
-    return bocpd.onsets(profile.kalman(rows, profile.noise_simple(rows)))
-
-
-@query()
-def detector_calibration(spark, sf_dir):
-    """Recall, false-alarm rate and MCC of the detector by channel."""
-    labels = from_events(spark, sf_dir).groupBy("channel", "segment").agg(F.max("anomaly").alias("anomaly"))
-    rows = bocpd_onsets(spark, sf_dir).join(labels, ["channel", "segment"]).withColumn("hit", F.col("onset").isNotNull())
-    cells = {"tp": (1, True), "fn": (1, False), "fp": (0, True), "tn": (0, False)}
-    counts = rows.groupBy("channel").agg(*[F.count_if((F.col("anomaly") == x) & (F.col("hit") == y)).alias(n) for n, (x, y) in cells.items()])
-    tp, fn, fp, tn = (F.col(c).cast("double") for c in cells)
-    return counts.select("channel", "tp", "fn", "fp", "tn", F.try_divide(tp, tp + fn).alias("recall"), F.try_divide(fp, fp + tn).alias("false_alarm_rate"), alarms.mcc(tp, tn, fp, fn).alias("mcc"))

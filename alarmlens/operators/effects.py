@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alarmlens.functions import distributions
 from alarmlens.sources.telemetry import differences, in_segment
 
 # Fixed values of the method.
@@ -55,7 +56,7 @@ def pivot_effects(samples: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def welch(samples: DataFrame, points: DataFrame, early: int | None = None) -> DataFrame:
-    """Welch's t, its degrees of freedom and Cohen's d for level and squared differences; early: of the first points after the pivot_t only."""
+    """Welch's t, its degrees of freedom, two-sided p, and Cohen's d for level and squared differences; early: of the first points after the pivot_t only."""
     rows = around(samples, points)
     if early is not None:
         rows = rows.where(F.col("t") < F.col("pivot_t") + early)
@@ -69,7 +70,7 @@ def welch(samples: DataFrame, points: DataFrame, early: int | None = None) -> Da
         out.append(F.when(enough, (F.col(f"{name}_mean_post") - F.col(f"{name}_mean_pre")) / F.sqrt(a + b)).alias(f"{name}_t"))
         out.append(F.when(enough, (a + b) * (a + b) / (a * a / (n0 - 1) + b * b / (n1 - 1))).alias(f"{name}_df"))
         out.append(F.when(enough, cohen_d(name)).alias(f"{name}_d"))
-    return sums.select(*KEY, *out)
+    return sums.select(*KEY, *out).select("*", *[distributions.t_sf2(f"{name}_t", f"{name}_df").alias(f"{name}_p") for name in series])
 
 
 def standardised(samples: DataFrame, points: DataFrame) -> DataFrame:

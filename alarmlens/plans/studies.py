@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alarmlens.operators import effects, inference, studies
-from alarmlens.operators.catalogue import EFFECT_SQL, LABELLED_SQL, NOMINAL_SQL, ORACLES, PIVOT_SQL, QUERIES, TELEMETRY_SQL, Z_SQL, _effects, _labelled, _lv, _peaks, query
+from alarmlens.operators.catalogue import EFFECT_SQL, LABELLED_SQL, MW_COLUMNS, NOMINAL_SQL, ORACLES, PIVOT_SQL, QUERIES, TELEMETRY_SQL, Z_SQL, _effects, _labelled, _lv, _peaks, query, rank_sum_sql
 from alarmlens.sources.telemetry import from_events
 
 CROSS_SQL = f"""{Z_SQL}, cr AS (SELECT channel, segment, pivot_t, max(seg_anomaly) AS anomaly, min(t - pivot_t) FILTER (level_z > 3) AS level_cross, min(t - pivot_t) FILTER (diff_z > 3) AS diff_cross FROM zs WHERE post GROUP BY channel, segment, pivot_t)"""
@@ -177,11 +177,8 @@ def auroc_loco(spark, sf_dir):
 
 
 def _slice_sql() -> str:
-    return f"""WITH {EFFECT_SQL}, x AS (SELECT s.slice, e.anomaly, e.diff_logvar AS v FROM eff e, (VALUES ('full'), ('train'), ('test')) s(slice) WHERE e.diff_logvar IS NOT NULL AND (s.slice = 'full' OR (s.slice = 'train') = (e.segment % 4 <> 0))),
-k AS (SELECT slice, anomaly, rank() OVER (PARTITION BY slice ORDER BY v) + (count(*) OVER (PARTITION BY slice, v) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY slice, v) AS c FROM x),
-s AS (SELECT slice, sum(r) FILTER (anomaly = 1) AS r1, count(*) FILTER (anomaly = 1) AS n1, count(*) FILTER (anomaly = 0) AS n0, count(*) AS n, sum((c * c - 1)::DOUBLE) AS ties FROM k GROUP BY slice)
-SELECT slice, n1, n0, round(CASE WHEN n1 >= 5 AND n0 >= 5 THEN r1 - n1 * (n1 + 1) / 2.0::DOUBLE END, 6) AS u,
-  round(CASE WHEN n1 >= 5 AND n0 >= 5 THEN (r1 - n1 * (n1 + 1) / 2.0::DOUBLE - n1 * n0 / 2.0::DOUBLE - 0.5) / sqrt(n1 * n0 / 12.0::DOUBLE * ((n + 1) - ties / (n * (n - 1)))) END, 6) AS z FROM s"""
+    return f"""WITH RECURSIVE {EFFECT_SQL}, x AS (SELECT s.slice, e.anomaly, e.diff_logvar AS v FROM eff e, (VALUES ('full'), ('train'), ('test')) s(slice) WHERE e.diff_logvar IS NOT NULL AND (s.slice = 'full' OR (s.slice = 'train') = (e.segment % 4 <> 0))),
+{rank_sum_sql('x', 'slice')} SELECT slice, {MW_COLUMNS} FROM mw"""
 
 
 @query(_slice_sql())

@@ -12,8 +12,8 @@ def in_segment() -> WindowSpec:
 
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as telemetry: a channel is an event type, a segment a day; every fifth day counts as anomalous, every fourth as held out."""
-    day = F.dayofmonth("ts").cast("long")
+    """events as telemetry: a channel is an event type, a segment a calendar day (counted from 1970); every fifth day counts as anomalous, every fourth as held out."""
+    day = F.unix_date(F.col("ts").cast("date")).cast("long")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("channel"), day.alias("segment"), "ts", "event_id", "user_id", "value")
     t = F.row_number().over(Window.partitionBy("channel", "segment").orderBy("ts", "event_id")) - 1
     return rows.select(
@@ -34,10 +34,11 @@ def differences(samples: DataFrame) -> DataFrame:
 
 
 #: The same in SQL, for oracles.
-TELEMETRY_SQL = """tele AS (
-  SELECT event_type AS channel, CAST(day(ts) AS BIGINT) AS segment,
-    row_number() OVER (PARTITION BY event_type, day(ts) ORDER BY ts, event_id) - 1 AS t, value,
-    CASE WHEN day(ts) % 5 = 0 THEN 1 ELSE 0 END AS anomaly, CASE WHEN day(ts) % 4 <> 0 THEN 1 ELSE 0 END AS train, user_id % 28 AS cluster
-  FROM events),
+TELEMETRY_SQL = """days AS (SELECT *, datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS dy FROM events),
+tele AS (
+  SELECT event_type AS channel, CAST(dy AS BIGINT) AS segment,
+    row_number() OVER (PARTITION BY event_type, dy ORDER BY ts, event_id) - 1 AS t, value,
+    CASE WHEN dy % 5 = 0 THEN 1 ELSE 0 END AS anomaly, CASE WHEN dy % 4 <> 0 THEN 1 ELSE 0 END AS train, user_id % 28 AS cluster
+  FROM days),
 dif1 AS (SELECT *, value - lag(value) OVER (PARTITION BY channel, segment ORDER BY t) AS d FROM tele),
 dif AS (SELECT *, d - lag(d) OVER (PARTITION BY channel, segment ORDER BY t) AS d2 FROM dif1)"""

@@ -20,7 +20,7 @@ EXACT_SIDE, EXACT_PRODUCT = 8, 20_000
 #: Pairs up to which the signed-rank distribution is exact.
 EXACT_PAIRS = 50
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+_lgamma = np.vectorize(lambda x: math.lgamma(x) if x > 0 else math.nan, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
 
@@ -53,6 +53,7 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
 def chi2_tail(x: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Upper tail: the power series of the lower incomplete gamma function, or the continued fraction of the upper one."""
     z, a = (np.asarray(v, float) / 2 for v in np.broadcast_arrays(x, df))
+    a = np.where(a > 0, a, np.nan)
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         front = np.exp(-z + a * np.log(z) - _lgamma(a))
         term = total = 1 / a
@@ -63,7 +64,7 @@ def chi2_tail(x: np.ndarray, df: np.ndarray) -> np.ndarray:
         for n in range(TERMS, 0, -1):
             tail = n * (n - a) / (z + 2 * n + 1 - a - tail)
         upper = front / (z + 1 - a - tail)
-    return np.where(z <= 0, 1.0, np.where(z < a + 1, 1 - front * total, upper))
+    return np.where(np.isnan(a), np.nan, np.where(z <= 0, 1.0, np.where(z < a + 1, 1 - front * total, upper)))
 
 
 def rank_sum_tail(u: float, n1: int, n0: int) -> float:

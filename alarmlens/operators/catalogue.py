@@ -234,8 +234,8 @@ def signed_rank_sql(rows: str, by: str) -> str:
 sk AS (SELECT {by}, v, rank() OVER (PARTITION BY {by} ORDER BY abs(v)) + (count(*) OVER (PARTITION BY {by}, abs(v)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY {by}, abs(v)) AS c FROM {rows} WHERE v <> 0),
 ss AS (SELECT {by}, coalesce(sum(r) FILTER (v > 0), 0) AS p, coalesce(sum(r) FILTER (v < 0), 0) AS m, count(*) AS k, count(*)::DOUBLE AS n, sum((c * c - 1)::DOUBLE) AS ties FROM sk GROUP BY {by}),
 sz AS (SELECT *, CASE WHEN n >= 5 THEN least(p, m) END AS w, CASE WHEN n >= 5 THEN (least(p, m) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) END AS z FROM ss),
-sg(k, i, s) AS (SELECT DISTINCT k, 0::BIGINT, 0::BIGINT FROM sz WHERE ties = 0 AND k <= 20 AND n >= 5 UNION ALL SELECT k, i + 1, s + b * (i + 1) FROM sg, (VALUES (0::BIGINT), (1::BIGINT)) q(b) WHERE i < k),
-sr AS (SELECT sw.*, k AS n, w, z, CASE WHEN w IS NULL THEN NULL WHEN ties = 0 AND k <= 50 THEN least(1, 2 * (SELECT avg((s <= w)::INT) FROM sg WHERE sg.k = sz.k AND i = sg.k)) ELSE least(1, 2 * {normal_sf_sql('abs(z)')}) END AS p_value FROM sw LEFT JOIN sz USING ({by}))"""
+flips(k, i, s) AS (SELECT DISTINCT k, 0::BIGINT, 0::BIGINT FROM sz WHERE ties = 0 AND k <= 20 AND n >= 5 UNION ALL SELECT k, i + 1, s + b * (i + 1) FROM flips, (VALUES (0::BIGINT), (1::BIGINT)) q(b) WHERE i < k),
+sr AS (SELECT sw.*, k AS n, w, z, CASE WHEN w IS NULL THEN NULL WHEN ties = 0 AND k <= 50 THEN least(1, 2 * (SELECT avg((s <= w)::INT) FROM flips WHERE flips.k = sz.k AND i = flips.k)) ELSE least(1, 2 * {normal_sf_sql('abs(z)')}) END AS p_value FROM sw LEFT JOIN sz USING ({by}))"""
 
 
 SR_COLUMNS = "n_pairs, round(median_difference, 6) AS median_difference, round(share_before, 6) AS share_before, n, round(w, 6) AS w, round(z, 6) AS z, round(p_value, 6) AS p_value"

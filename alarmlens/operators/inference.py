@@ -35,7 +35,7 @@ def mann_whitney(rows: DataFrame, by: list[str], value: str, positive: str, leas
     exact = enough & (F.col("ties") == 0) & (F.least(n1, n0) <= distributions.EXACT_SIDE) & (n1 * n0 <= distributions.EXACT_PRODUCT)
     out = sums.select(*by, "n1", n0.cast("long").alias("n0"), F.when(enough, u).alias("u"), z.alias("z"), F.when(enough, F.when(exact, "exact").otherwise("normal")).alias("method"), F.when(exact, F.greatest(u, n1 * n0 - u) if two_sided else u).alias("ue"))
     p = F.when(F.col("method") == "exact", distributions.exact_rank_sum("ue", "n1", "n0")).otherwise(distributions.normal_sf("z"))
-    return out.select(*by, "n1", "n0", "u", "z", "method", (F.least(2 * p, F.lit(1.0)) if two_sided else p).alias("p_value"))
+    return out.select(*by, "n1", "n0", "u", "z", "method", (F.when(p.isNotNull(), F.least(2 * p, F.lit(1.0))) if two_sided else p).alias("p_value"))
 
 
 def wilcoxon(rows: DataFrame, by: list[str], difference: str, least: int = 5) -> DataFrame:
@@ -57,7 +57,7 @@ def wilcoxon(rows: DataFrame, by: list[str], difference: str, least: int = 5) ->
     w = F.when(enough, F.least("plus", "minus"))
     exact = (F.col("ties") == 0) & (n <= distributions.EXACT_PAIRS)
     out = sums.select(*by, "n", w.alias("w"), F.when(enough, (w - n * (n + 1) / 4) / F.sqrt(spread)).alias("z"), F.when(exact, w).alias("we"))
-    p = F.coalesce(distributions.exact_signed_rank("we", "n"), F.least(2 * distributions.normal_sf(F.abs("z")), F.lit(1.0)))
+    p = F.coalesce(distributions.exact_signed_rank("we", "n"), F.when(F.col("z").isNotNull(), F.least(2 * distributions.normal_sf(F.abs("z")), F.lit(1.0))))
     return whole.join(out.select(*by, "n", "w", "z", p.alias("p_value")), by, "left")
 
 
@@ -107,9 +107,11 @@ def spearman_exact(rows: DataFrame, x: str, y: str) -> DataFrame:
     return each.agg(F.try_divide(F.max("s0"), F.max("scale")).alias("rho"), F.count(F.lit(1)).alias("n_orders"), F.avg((F.abs("s") >= F.abs("s0") - 1e-9).cast("double")).alias("p_value"))
 
 
-def bonferroni(rows: DataFrame, p: str) -> DataFrame:
-    """Adds p_bonferroni over all non-null p values."""
-    return rows.crossJoin(F.broadcast(rows.agg(F.count(p).alias("tests")))).withColumn("p_bonferroni", F.least(F.col(p) * F.col("tests"), F.lit(1.0))).drop("tests")
+def bonferroni(rows: DataFrame, p: str, family: list[str] | None = None) -> DataFrame:
+    """Adds p_bonferroni over all non-null p values, or over those of each family."""
+    if family:
+        return rows.withColumn("p_bonferroni", F.when(F.col(p).isNotNull(), F.least(F.col(p) * F.count(p).over(Window.partitionBy(*family)), F.lit(1.0))))
+    return rows.crossJoin(F.broadcast(rows.agg(F.count(p).alias("tests")))).withColumn("p_bonferroni", F.when(F.col(p).isNotNull(), F.least(F.col(p) * F.col("tests"), F.lit(1.0)))).drop("tests")
 
 
 def benjamini_hochberg(rows: DataFrame, p: str) -> DataFrame:

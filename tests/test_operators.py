@@ -1,9 +1,12 @@
 """Properties of single operators, on small fixtures."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from alarmlens.functions import distributions
 from alarmlens.operators import alarms, bocpd, inference, meta, profile
 from alarmlens.sources.telemetry import differences
 
@@ -36,14 +39,49 @@ def test_second_differences_cross_segments(series):
     assert got == pytest.approx(sorted(np.diff(d)))
 
 
+def run_lengths(values, forgetting=True):
+    lengths = bocpd.RunLengths(bocpd.Tables(forgetting))
+    return [lengths.step(v).copy() for v in values]
+
+
 def test_run_lengths_sum_to_one_and_find_a_shift():
     rng = np.random.default_rng(1)
-    found = bocpd.run_lengths(np.concatenate([rng.normal(0, 1, 80), rng.normal(20, 1, 20)]))
+    found = run_lengths(np.concatenate([rng.normal(0, 1, 80), rng.normal(20, 1, 20)]))
     assert all(abs(p.sum() - 1) < 1e-9 for p in found)
     assert found[82].argmax() <= 4 and found[79].argmax() > 5
-    onset, confirm, _ = bocpd.onset(bocpd.run_lengths(np.concatenate([np.linspace(-0.5, 0.5, 80), np.linspace(19.5, 20.5, 20)])))
-    assert abs(onset - 80) <= 2 and confirm >= onset
-    assert bocpd.onset(bocpd.run_lengths(np.zeros(4))) is None
+
+
+def test_detector_finds_a_shift_after_a_quiet_run(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(0, 1, 250), rng.normal(60, 1, 30)])
+    rows = spark.createDataFrame([("a", 1, t, float(v)) for t, v in enumerate(values)] + [("a", 2, t, 0.0) for t in range(4)] + [("b", 1, 0, None)], "channel string, segment long, t long, value double")
+    params = spark.createDataFrame([("a", 1.0, 0.01), ("b", 1.0, 0.01)], "channel string, r double, q double")
+    got = {(r.channel, r.segment): r for r in bocpd.detect(rows, params, whole=True).collect()}
+    r = got["a", 1]
+    assert abs(r.onset - 250) <= 3 and r.confirm >= r.onset and 0 < r.confidence <= 1 and r.runs[0].run == 0
+    assert abs(sum(c.p for c in r.candidates) - 1) < 1e-9 and all(10 <= c.onset <= 275 for c in r.candidates)
+    assert got["a", 2].onset is None and got["a", 2].candidates == [] and len(got) == 2
+    assert bocpd.detect(rows.where("false"), params).count() == 0
+    with pytest.raises(ValueError):
+        bocpd.Filter(-1.0, 0.0)
+
+
+def test_forgetting_caps_the_weight_of_the_past():
+    capped, free = bocpd.Tables(True).up_to(100), bocpd.Tables(False).up_to(100)
+    assert capped.kappa.max() == 40 and free.kappa[99] == 100 and (capped.alpha >= 1e-3).all() and free.alpha[99] == 50.5
+
+
+def test_tail_probabilities():
+    d = distributions
+    assert d.normal_tail([1.96, 0, -1]) == pytest.approx([0.0249979, 0.5, 0.8413447], abs=1e-6)
+    assert d.t_two_sided([2.0, 0.5, 0.0], [10, 3.3, 5]) == pytest.approx([0.0733880, 0.6485351, 1.0], abs=1e-6)
+    assert d.chi2_tail([3.841459, 10, 0], [1, 4, 2]) == pytest.approx([0.05, 0.0404277, 1.0], abs=1e-6)
+    for n1, n0 in ((5, 6), (6, 5), (3, 9)):
+        sums = [sum(x) - n1 * (n1 + 1) / 2 for x in itertools.combinations(range(1, n1 + n0 + 1), n1)]
+        for u in (0, 7, 14, n1 * n0):
+            assert d.rank_sum_tail(u, n1, n0) == pytest.approx(np.mean(np.array(sums) >= u))
+    signs = [sum(r for r, b in zip(range(1, 9), bits) if b) for bits in itertools.product((0, 1), repeat=8)]
+    assert d.signed_rank_two_sided(3, 8) == pytest.approx(2 * np.mean(np.array(signs) <= 3))
 
 
 def test_mann_whitney_counts_pairs(spark):

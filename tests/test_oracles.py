@@ -7,6 +7,7 @@ import pytest
 
 import alarmlens.plans.evidence  # noqa: F401
 import alarmlens.plans.detection  # noqa: F401  registers its queries
+import alarmlens.plans.onsets  # noqa: F401
 import alarmlens.plans.studies  # noqa: F401
 from alarmlens.operators.catalogue import ORACLES, QUERIES
 

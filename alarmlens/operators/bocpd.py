@@ -23,7 +23,7 @@ HAZARD, KAPPA_MAX, MU0, KAPPA0, ALPHA0, BETA0 = 1 / 250.0, 40.0, 0.0, 1.0, 1.0,
 LONG_RUN, SHORT_RUN, TOP_RUNS, LEAST_POSTERIOR = 5, 2, 30, 1e-6
 VARIANCE_CLIP, LEAST_SAMPLES = 1e-8, 5
 FIRST_CANDIDATE, LAST_CANDIDATE = 10, 5
-FOUND = "n_points long, onset long, confirm long, confidence double, runs array<struct<run:long,p:double>>, candidates array<struct<onset:long,p:double>>"
+FOUND = "n_points long, onset long, confirm long, confidence double, runs array<struct<run:long,p:double>>, candidates array<struct<onset:long,p:double>>, resets long"
 
 
 class Tables:
@@ -99,7 +99,7 @@ class Segment:
 
     def __init__(self, r: float, q: float, tables: Tables, whole: bool):
         self.filter, self.lengths, self.whole = Filter(r, q), RunLengths(tables), whole
-        self.n, self.before, self.found = 0, 0, None
+        self.n, self.before, self.found, self.resets = 0, 0, None, 0
 
     def step(self, y: float) -> None:
         self.n += 1
@@ -108,7 +108,9 @@ class Segment:
         nu, s = self.filter.step(y)
         p = self.lengths.step(nu / math.sqrt(max(s, VARIANCE_CLIP)))
         likeliest, t = int(p.argmax()), self.n - 1
-        if not self.found and t and likeliest <= SHORT_RUN and self.before > LONG_RUN:
+        falls = t > 0 and likeliest <= SHORT_RUN and self.before > LONG_RUN
+        self.resets += falls
+        if falls and not self.found:
             runs = [{"run": r, "p": float(x)} for r, x in enumerate(p[:TOP_RUNS]) if x > LEAST_POSTERIOR]
             self.found = t - likeliest, t, float(p[: SHORT_RUN + 1].sum()), runs
         self.before = likeliest
@@ -121,11 +123,11 @@ class Segment:
             p, at = self.lengths.p[keep], at[keep]
             candidates = [{"onset": int(i), "p": float(x)} for i, x in zip(at[::-1], (p / p.sum())[::-1])] if p.sum() > 0 else []
         found = self.found if self.n >= LEAST_SAMPLES else None
-        return self.n, *(found or (None, None, None, None)), candidates
+        return self.n, *(found or (None, None, None, None)), candidates, self.resets if self.whole else None
 
 
 def detect(samples: DataFrame, params: DataFrame, by: tuple = ("channel", "segment"), forgetting: bool = True, whole: bool = False) -> DataFrame:
-    """One row for each segment: its onset (nulls if none), the run lengths at its confirmation, and with whole the candidate onsets by the last posterior.
+    """One row for each segment: its onset (nulls if none), the run lengths at its confirmation, and with whole the candidate onsets by the last posterior and how often the run length was reset.
 
     params has r and q (and forgetting, where it varies) for each channel, or each of by's other columns and channel; it is a
     few rows. A segment of fewer than five samples has no onset. A null value counts for a missing sample.

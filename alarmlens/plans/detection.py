@@ -76,7 +76,7 @@ def found(spark, sf_dir, **how) -> DataFrame:
 
 @query(f"{DETECT_SQL} SELECT channel, segment, n AS n_points, onset, confirm, round(confidence, 6) AS confidence FROM onsets")
 def bocpd_onsets(spark, sf_dir):
-    return found(spark, sf_dir).drop("runs", "candidates")
+    return found(spark, sf_dir).drop("runs", "candidates", "resets")
 
 
 @query(f"""{DETECT_SQL}, x AS (SELECT channel, segment, confirm, unnest(range(0, least(len(runs), 30))) AS run_length, unnest(runs[1:30]) AS p FROM onsets WHERE onset IS NOT NULL)

@@ -69,6 +69,17 @@ def noise_mixture(samples: DataFrame) -> DataFrame:
     return r.join(q, "channel", "left").select("channel", "r", F.coalesce("q", F.lit(NOISE_FLOOR)).alias("q"), "n_diff")
 
 
+ESTIMATORS = {"simple": noise_simple, "mixture": noise_mixture}
+
+
+def estimated(samples: DataFrame, estimator: str) -> DataFrame:
+    """Noise by the named estimator. A channel without nominal differences has the floors, and n_diff 0."""
+    if estimator not in ESTIMATORS:
+        raise ValueError(f"no estimator {estimator!r}; there are {sorted(ESTIMATORS)}")
+    rows = samples.select("channel").distinct().join(ESTIMATORS[estimator](samples), "channel", "left")
+    return rows.select("channel", F.coalesce("r", F.lit(NOISE_FLOOR)).alias("r"), F.coalesce("q", F.lit(NOISE_FLOOR)).alias("q"), F.coalesce("n_diff", F.lit(0)).alias("n_diff"))
+
+
 def shrink(variances: DataFrame, value: str, n: str) -> DataFrame:
     """Adds shrunk and weight: variances drawn to their common level on the log scale (one row a channel)."""
     every = Window.partitionBy()

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A key that at least so many rows have, and at least this share of all, is joined by broadcast: no more than HOT_SHARE keys can be so frequent.
-HOT_ROWS, HOT_SHARE = 10_000, 100_000
+HOT_ROWS, HOT_SHARE = 1_000, 100_000
 #: Rows that a task turns into Python objects at a time.
 SLICE_ROWS = 512
 
@@ -47,12 +47,12 @@ def saved(df: DataFrame) -> DataFrame:
     return out
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Deletes saved tables that nothing needs any more, and lets Spark find the shuffles that went into them."""
+def dropped(*tables: DataFrame, shuffles: bool = False) -> None:
+    """Deletes saved tables that nothing needs any more; with shuffles, Spark also looks for the shuffles that went into them."""
     for table in tables:
-        spark = table.sparkSession
-        remove_folder(spark, table.saved_at)
-        spark.sparkContext._jvm.System.gc()
+        remove_folder(table.sparkSession, table.saved_at)
+    if shuffles:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

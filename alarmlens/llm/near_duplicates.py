@@ -173,6 +173,7 @@ def _nodes(reps: DataFrame, trees: range) -> DataFrame:
     paths = [F.xxhash64("tree", F.substring("sketch", 4 * DEPTH * F.col("tree") + 1, F.lit(4 * (d + 1)))).alias(f"k{d}") for d in range(DEPTH)]
     open_ = spread.select("rep", "component", "n_shingles", "d1", *paths)
     done = []
+    # the tables of large nodes are kept until the links are found: every part of the union reads one
     for d in range(DEPTH):
         sizes = (
             open_.groupBy(f"k{d}")
@@ -206,7 +207,7 @@ def _links(docs: DataFrame, reps: DataFrame, trees: range, size: int, percent: i
     """Confirmed links (a, b) between vertices that these trees bring together."""
     placed = _nodes(reps, trees).join(reps.select("rep", "n_shingles", "sketch"), "rep")
     near = common.map_groups(placed, "node", lambda members: _alike(members, percent), "node long, rep long, component long, d1 long")
-    near = common.saved(near.dropDuplicates(["node", "rep"]))
+    near = common.saved(near.dropDuplicates(["node", "rep", "d1"]))
     wanted = near.groupBy("rep", "d1").agg(F.collect_list(F.struct("node", "component")).alias("places"))
     if near.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -243,24 +244,31 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80, rou
 
     Documents are linked if their shingle sets' similarity is percent / 100 or more. A null or empty text, or one without
     words, has no shingles, is linked with nothing and is its own component. Repeated rows share their component; rows with
-    one doc_id and different texts are one vertex of the graph. A row with a null doc_id is compared like any other, gets
-    the smallest id that it reaches (null without one) and is kept. Only doc_id and text are read.
+    one doc_id and different texts are one vertex of the graph. A row with a null doc_id belongs to the component of the rows
+    with its set of shingles, if one of them has an id, else to none (null); it is kept. Texts of any length are read whole.
+    Only doc_id and text are read.
     """
     sketches = common.saved(sketched(docs, size))
     key = ["d1", "d2"]
-    classes = sketches.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    reps = classes.where("rep IS NOT NULL").drop("d2")
+    classes = sketches.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = common.saved(classes)
+    reps = classes.where("rep IS NOT NULL").drop("d2", "copies")
     labels, links, done = reps.withColumn("component", F.col("rep")), None, 0
     found = None
     for trees in rounds:
         new = _links(docs, labels, range(done, done + trees), size, percent)
         links = new if links is None else links.unionByName(new)
         done += trees
+        if found is not None:
+            common.dropped(found)
         found = common.saved(components(links))
         labels = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    whole = sketches.select("doc_id", "n_shingles", *key).join(classes.select(*key, "rep"), key, "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-    return whole.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = classes.select(*key, "rep", "copies").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*key, "copies", F.coalesce("component", "rep").alias("component_id"))
+    rows = sketches.select("doc_id", "n_shingles", *key)
+    # the copies of one text may be a large share of all rows
+    with_words = common.joined(rows.where("n_shingles > 0"), named, key, "copies").select("doc_id", "n_shingles", "component_id")
+    whole = with_words.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return whole.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -82,16 +83,23 @@ def _ids(path: str):
     return _memos[path].__getitem__
 
 
-def pieces(docs: DataFrame, tokenizer: str, group: Column, length: int = LENGTH) -> DataFrame:
-    """A row for each piece: its group, doc_id, start, length, its ids as bytes of four each, and doc_tokens."""
+def pieces(docs: DataFrame, tokenizer: str, groups: int, length: int = LENGTH) -> DataFrame:
+    """A row for each piece: its group, doc_id, start, length, its ids as bytes of four each, and doc_tokens.
+
+    A row's group follows from a hash of its id and text, and for rows that repeat each other from how many the task has seen:
+    such rows are alike, so a task that is run again deals the same rows to the same groups.
+    """
 
     def make():
         encode = _ids(tokenizer)
+        seen: Counter = Counter()
         end = np.array([END_ID], "<u4").tobytes()
 
-        def fn(groups, keys, texts):
+        def fn(hashes, keys, texts):
             out = [[] for _ in range(6)]
-            for g, key, text in zip(groups.to_pylist(), keys.to_pylist(), common.as_bytes(texts)):
+            for h, key, text in zip(hashes.to_pylist(), keys.to_pylist(), common.as_bytes(texts)):
+                g = (h + 0x9E3779B97F4A7C15 * seen[h]) % (1 << 64) % groups
+                seen[h] += 1
                 ids = b"".join(map(encode, (text or b"").split())) + end
                 n = len(ids) // 4
                 for at in range(0, n, length):
@@ -102,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, group: Column, length: int = LENGTH)
 
         return fn
 
-    return common.map_columns(docs, [group.alias("pack_group"), F.col("doc_id").cast("long").alias("doc_id"), "text"], make, "pack_group long, doc_id long, start long, length long, ids binary, doc_tokens long", rows=128)
+    return common.map_columns(docs, [F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "text"], make, "pack_group long, doc_id long, start long, length long, ids binary, doc_tokens long", rows=128)
 
 
 def _as_lists(ids: pa.Array, kind: pa.DataType) -> pa.Array:
@@ -117,11 +125,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group_docs: int
     """Each row of docs, cut into pieces with their ids and place: sequence_id, and offset in it. digest adds the ids' CRC-32.
 
     A null or empty text is one piece: the end id alone. A row with a null doc_id is packed like any other, and repeated rows
-    are packed once each. Other columns aren't read. Groups are dealt by row, so that no repeated key meets in one.
+    are packed once each. Other columns aren't read. Groups don't depend on
+    the partitioning, but for which of several equal rows is in which.
     """
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     groups = max(1, -(-n // group_docs), -(-size // GROUP_BYTES))
-    group = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups))
     schema = PACKED.format(payload="ids array<int>, ids_crc32 long" if digest else "ids array<int>")
     out = to_arrow_schema(T.StructType.fromDDL(schema))
 
@@ -140,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group_docs: int
             made.append(pa.RecordBatch.from_arrays([columns[f.name] for f in out], schema=out))
         return pa.Table.from_batches(made, schema=out)
 
-    return pieces(docs, tokenizer, group, length).groupBy("pack_group").applyInArrow(place, schema)
+    return pieces(docs, tokenizer, groups, length).groupBy("pack_group").applyInArrow(place, schema)
 
 
 def sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:

@@ -30,7 +30,7 @@ def windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     """(h, id, doc, lo) of each window that can repeat, in documents (id, doc, text) whose doc tells rows apart."""
     rows = common.saved(repeats.anchor_rows(docs, word_codes, gram, window))
     found = common.saved(repeats.candidates(rows))
-    common.dropped(rows)
+    common.dropped(rows, shuffles=True)
 
     def make():
         def fn(ids, docs, texts, places):
@@ -53,7 +53,7 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     counted = common.saved(counted)
     spans = common.joined(each, counted, ["h"], "n").where("id > least").select("doc", "lo", (F.col("lo") + window).cast("int").alias("hi"))
     found = common.saved(spans)
-    common.dropped(each, counted)
+    common.dropped(each, counted, shuffles=True)
     return repeats.by_document(found)
 
 

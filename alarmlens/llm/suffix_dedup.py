@@ -306,14 +306,14 @@ def removal_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_
     """(doc, spans): bytes lo to hi (exclusive) that lie in a string of length bytes which also starts elsewhere, for documents (doc, text)."""
     rows = common.saved(repeats.anchor_rows(docs, byte_codes, gram, length))
     found = common.saved(repeats.candidates(rows))
-    common.dropped(rows)
+    common.dropped(rows, shuffles=True)
     both = common.saved(contexts(docs, found, length))
-    common.dropped(found)
+    common.dropped(found, shuffles=True)
     reach = common.saved(reaches(both.where("context IS NOT NULL"), length, gram, most_group))
     places = both.where("doc IS NOT NULL").select("key", "h", "doc", "anchor")
     spans = common.joined(places, reach, ["key", "h"], "places").select("doc", (F.col("anchor") - F.col("left")).alias("lo"), (F.col("anchor") + F.col("right")).alias("hi"))
     spans = common.saved(spans.distinct())
-    common.dropped(both, reach)
+    common.dropped(both, reach, shuffles=True)
     return repeats.by_document(spans)
 
 

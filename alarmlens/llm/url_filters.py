@@ -85,6 +85,10 @@ def _looked_up(keys: DataFrame, valid: DataFrame, by: str, first, last) -> DataF
     return met.groupBy(by, "fetched_on").agg(F.collect_list(F.struct("rank", "verdict", "list")).alias(f"{by}_entries"))
 
 
+#: Parts into which the captures of one host and day are dealt.
+SALTS = 16
+
+
 def filtered(captures: DataFrame, listed: DataFrame) -> DataFrame:
     """captures with url and fetched_on, and for each row: host, page, verdict, n_active, lists.
 
@@ -105,7 +109,11 @@ def filtered(captures: DataFrame, listed: DataFrame) -> DataFrame:
     by_host = _looked_up(hosts.select("host", "fetched_on", F.inline(suffixes)), valid.where("kind = 'domain'"), "host", bounds.a, bounds.b)
     pages = rows.where("page IS NOT NULL AND fetched_on IS NOT NULL").select("page", "fetched_on").distinct()
     by_page = _looked_up(pages.select("page", "fetched_on", F.col("page").alias("pattern"), F.lit(1000).alias("rank")), valid.where("kind = 'url'"), "page", bounds.a, bounds.b)
-    return _decided(rows.join(by_host, ["host", "fetched_on"], "left").join(by_page, ["page", "fetched_on"], "left"))
+    # a day's captures of one host or page, or those without any, may be a large share of all: they are dealt over several keys
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    by_host, by_page = by_host.select("*", salts), by_page.select("*", salts)
+    return _decided(salted.join(by_host, ["host", "fetched_on", "salt"], "left").join(by_page, ["page", "fetched_on", "salt"], "left").select(*rows.columns, "host_entries", "page_entries"))
 
 
 def _decided(rows: DataFrame) -> DataFrame:

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from alarmlens.functions.random import uniform_sql
 from alarmlens.operators import alarms, bocpd, effects, inference, meta, profile, resampling, studies
-from alarmlens.operators.catalogue import EFFECT_SQL, NOISE_SQL, NOMINAL_SQL, TELEMETRY_SQL, Z_SQL, _effects, _labelled, _lv, _peaks, query
+from alarmlens.operators.catalogue import EFFECT_SQL, MW_COLUMNS, NOISE_SQL, NOMINAL_SQL, SR_COLUMNS, TELEMETRY_SQL, Z_SQL, _effects, _labelled, _peaks, query, rank_sum_sql, signed_rank_sql
 from alarmlens.plans.detection import DETECT_SQL, found
-from alarmlens.plans.evidence import ORACLES, influence_flags
+from alarmlens.plans.evidence import ORACLES, best_lag_xcorr, influence_flags
 from alarmlens.plans.onsets import effect_table_sql
-from alarmlens.plans.studies import AUROC_SQL
 from alarmlens.sources import files
 from alarmlens.sources.telemetry import from_events
 
@@ -201,3 +200,26 @@ def synthetic_telemetry(spark, sf_dir):
 @query(f"""WITH {NOISE_SQL}, e AS (SELECT DISTINCT channel FROM tele) SELECT e.channel, round(coalesce(r, 1e-14), 6) AS r, round(coalesce(q, 1e-14), 6) AS q, coalesce(n_diff, 0) AS n_diff FROM e LEFT JOIN simple USING (channel)""")
 def estimator_dispatch(spark, sf_dir):
     return profile.estimated(from_events(spark, sf_dir), "simple")
+
+
+#: Lags of weaker correlation aren't reliable.
+LEAST_CORRELATION = 0.3
+LAG_SQL = f"lx AS ({ORACLES['best_lag_xcorr']}), lr AS (SELECT 'all' AS test, CASE WHEN segment % 5 = 0 THEN 'anomalous' ELSE 'normal' END AS side, CASE WHEN segment % 5 = 0 THEN 1 ELSE 0 END AS anomaly, lag::DOUBLE AS v FROM lx WHERE abs(correlation) >= {LEAST_CORRELATION})"
+
+
+def _lags(spark, sf_dir):
+    anomaly = F.when(F.col("segment") % 5 == 0, 1).otherwise(0)
+    rows = best_lag_xcorr(spark, sf_dir).where(F.abs("correlation") >= LEAST_CORRELATION)
+    return rows.select(F.lit("all").alias("test"), F.when(anomaly == 1, "anomalous").otherwise("normal").alias("side"), anomaly.alias("anomaly"), F.col("lag").cast("double").alias("v"))
+
+
+@query(f"WITH RECURSIVE {LAG_SQL}, {signed_rank_sql('lr', 'side')} SELECT side, {SR_COLUMNS} FROM sr")
+def lag_signed_rank(spark, sf_dir):
+    """Whether reliable lags of anomalous and of normal segments differ from 0."""
+    return inference.wilcoxon(_lags(spark, sf_dir), ["side"], "v")
+
+
+@query(f"WITH RECURSIVE {LAG_SQL}, {rank_sum_sql('lr', 'test', two_sided=True)} SELECT test, {MW_COLUMNS} FROM mw")
+def lag_group_test(spark, sf_dir):
+    """Whether reliable lags of anomalous and of normal segments differ from each other, on both sides."""
+    return inference.mann_whitney(_lags(spark, sf_dir).withColumn("one", F.col("anomaly") == 1), ["test"], "v", "one", two_sided=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, media_avi, near_duplicates, packing, pii, substring_dedup, suffix_dedup, token_counts, url_filters
+from . import centroid_clustering, decontamination, language_id, media_avi, near_duplicates, packing, pii, substring_dedup, suffix_dedup, token_counts, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
@@ -15,5 +15,9 @@ QUERIES = {
     "op8_language_id": language_id.query,
     "op9_token_counts": token_counts.query,
     "op10_decontamination": decontamination.query,
+    "op11_centroid_clustering": centroid_clustering.query,
+}
+ORACLES: dict[str, str] = {
+    "op1_url_filters": url_filters.ORACLE,
+    "op11_centroid_clustering": centroid_clustering.ORACLE,
 }
-ORACLES: dict[str, str] = {"op1_url_filters": url_filters.ORACLE}

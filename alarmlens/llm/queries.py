@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroid_clustering, decontamination, language_id, media_avi, near_duplicates, packing, pii, substring_dedup, suffix_dedup, token_counts, url_filters
+from . import centroid_clustering, decontamination, importance_resampling, language_id, media_avi, near_duplicates, packing, pii, substring_dedup, suffix_dedup, token_counts, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.query,
@@ -16,8 +16,12 @@ QUERIES = {
     "op9_token_counts": token_counts.query,
     "op10_decontamination": decontamination.query,
     "op11_centroid_clustering": centroid_clustering.query,
+    "op12_warc": warc.query,
+    "op13_importance_resampling": importance_resampling.query,
 }
 ORACLES: dict[str, str] = {
     "op1_url_filters": url_filters.ORACLE,
     "op11_centroid_clustering": centroid_clustering.ORACLE,
+    "op12_warc": warc.ORACLE,
+    "op13_importance_resampling": importance_resampling.ORACLE,
 }

@@ -32,11 +32,11 @@ WORDS_SQL = f"""WITH found AS (SELECT row, skip, regexp_extract_all(translate(te
 word AS (SELECT piece, row, skip, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM (SELECT row_number() OVER () AS piece, * FROM found))"""
 
 
-def pieces(text: bytes, max_n: int = MAX_N, size: int = PIECE_BYTES) -> Iterator[tuple[int, bytes]]:
+def pieces(text: bytes, max_n: int = MAX_N, size: int | None = None) -> Iterator[tuple[int, bytes]]:
     """A text in pieces that end where a word does, each with the number of words before it that it repeats for its n-grams."""
-    at, skip = 0, 0
+    at, skip, end, size = 0, 0, 0, size or PIECE_BYTES
     while True:
-        cut = SEPARATOR.search(text, at + size) if len(text) - at > size else None
+        cut = SEPARATOR.search(text, max(at + size, end + 1)) if len(text) - at > size else None
         end = cut.start() if cut else len(text)
         yield skip, text[at:end]
         if not cut:

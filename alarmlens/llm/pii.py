@@ -31,7 +31,9 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A numeric token of the field; its other tokens are words that hold an @ or a written-out one.
 NUMERIC = re.compile(r"[+(]?[0-9](?:[0-9 ()./_-]*[0-9])?")
-WRITTEN_AT = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)*", re.IGNORECASE)
+#: A written-out @, and what follows it; the words before it are found from there, so that each character is looked at once.
+WRITTEN_AT = re.compile(r" ?[\[(][Aa][Tt][\])]")
+WRITTEN_DOMAIN = re.compile(r" ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(][Dd][Oo][Tt][\])] ?)[A-Za-z0-9-]+)*")
 ANY = re.compile(r"[0-9]{3}|@|[\[(][aA][tT][\])]")
 SPACE = re.compile(r"\s")
 #: Labelled documents that the field is fitted on at most: of the SCANNED_DOCS (about) with the smallest hashes, the first that hold a token of the field.
@@ -76,6 +78,22 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def written_addresses(text: str) -> list[tuple[int, int]]:
+    """Addresses with a bracketed at: linear in the text, as emails() is."""
+    out, done = [], 0
+    at = WRITTEN_AT.search(text)
+    while at:
+        start, end = at.start(), at.end()
+        while start > done and text[start - 1] in LOCAL_SET:
+            start -= 1
+        if start < at.start() and (m := WRITTEN_DOMAIN.match(text, end)):
+            out.append((start, m.end()))
+            end = m.end()
+        done = end
+        at = WRITTEN_AT.search(text, done)
+    return out
+
+
 def base_spans(text: str) -> list[list[tuple[int, int]]]:
     """Spans of each kind: leftmost, non-overlapping; matches that fail their check are dropped."""
     out: list[list[tuple[int, int]]] = [emails(text) if "@" in text else [], [], [], []]
@@ -143,10 +161,10 @@ def candidates(text: str) -> list[tuple[int, int]]:
         at = text.find("@", b)
     if "(" in text or "[" in text:
         taken = [a for a, _ in words]
-        for m in WRITTEN_AT.finditer(text):
-            i = bisect.bisect_right(taken, m.end() - 1) - 1
-            if i < 0 or words[i][1] <= m.start():
-                words.append(m.span())
+        for a, b in written_addresses(text):
+            i = bisect.bisect_right(taken, b - 1) - 1
+            if i < 0 or words[i][1] <= a:
+                words.append((a, b))
         words.sort()
     numbers = [s for m in NUMERIC.finditer(text) if len(m[0]) >= 7 for s in _parts(m[0], m.start())]
     if not words:

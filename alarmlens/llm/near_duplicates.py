@@ -6,6 +6,9 @@ branching. A node that is small enough for one task is compared exhaustively; a
 still large at the last depth is compared block by block. Exact copies are one vertex from the start, and documents that
 earlier trees have connected aren't compared again, so that later trees meet only what is still apart. Sketches (the same
 minwise values) leave out pairs far below the threshold; each link is confirmed on the full sets.
+
+A vertex is a set of shingles, whatever the ids of its rows: it is named by the number of one of them. Its text is found again by a
+hash of id and text, and known by its digest.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -71,22 +74,27 @@ def digest(found: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, two longs that stand for the set, and its minwise values."""
+    """doc_id, row (tells rows apart), a hash of id and text, n_shingles, two longs that stand for the set, and its minwise values."""
 
     def make():
-        def fn(keys, texts):
+        def fn(keys, rows, text_keys, texts):
             out = [[] for _ in range(4)]
             for text in common.as_bytes(texts):
                 found = shingles(text, size)
                 row = len(found), *digest(found), minwise(found).tobytes() if len(found) else None
                 for values, x in zip(out, row):
                     values.append(x)
-            return keys, *out
+            return keys, rows, text_keys, *out
 
         return fn
 
-    return common.map_columns(docs, [F.col("doc_id").cast("long").alias("doc_id"), "text"], make, "doc_id long, n_shingles long, d1 long, d2 long, sketch binary")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), _text_key().alias("text_key"), "text"]
+    return common.map_columns(docs, columns, make, "doc_id long, row long, text_key long, n_shingles long, d1 long, d2 long, sketch binary")
 
 
 def _alike(members: pa.Table, percent: int) -> dict | None:
@@ -117,7 +125,7 @@ def _alike(members: pa.Table, percent: int) -> dict | None:
     if not out[0]:
         return None
     at = np.concatenate(out[0])
-    return {"node": np.concatenate(out[1])} | {c: members[c].take(at).combine_chunks() for c in ("rep", "component", "d1")}
+    return {"node": np.concatenate(out[1])} | {c: members[c].take(at).combine_chunks() for c in ("rep", "component", "d1", "text_key")}
 
 
 def joined_sets(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -167,12 +175,12 @@ def joined_sets(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray],
     return out
 
 
-def _nodes(reps: DataFrame, trees: range) -> DataFrame:
-    """(node, rep, component) of the nodes that one task can compare, for these trees."""
-    spread = reps.select("rep", "component", "n_shingles", "d1", "sketch", F.explode(F.array(*map(F.lit, trees))).alias("tree"))
+def _nodes(reps: DataFrame, trees: range) -> tuple[DataFrame, list[DataFrame]]:
+    """(node, rep, component) of the nodes that one task can compare, for these trees, and the saved tables that this reads."""
+    spread = reps.select("rep", "component", "n_shingles", "d1", "text_key", "sketch", F.explode(F.array(*map(F.lit, trees))).alias("tree"))
     paths = [F.xxhash64("tree", F.substring("sketch", 4 * DEPTH * F.col("tree") + 1, F.lit(4 * (d + 1)))).alias(f"k{d}") for d in range(DEPTH)]
-    open_ = spread.select("rep", "component", "n_shingles", "d1", *paths)
-    done = []
+    open_ = spread.select("rep", "component", "n_shingles", "d1", "text_key", *paths)
+    done, tables = [], []
     # the tables of large nodes are kept until the links are found: every part of the union reads one
     for d in range(DEPTH):
         sizes = (
@@ -181,19 +189,20 @@ def _nodes(reps: DataFrame, trees: range) -> DataFrame:
             .where("n > 1 AND c0 <> c1")
             .select(f"k{d}", "n", "weight")
         )
-        open_ = common.saved(open_.join(sizes, f"k{d}").select("rep", "component", "n_shingles", "d1", *[f"k{x}" for x in range(d, DEPTH)], "n", "weight"))
+        open_ = common.saved(open_.join(sizes, f"k{d}").select("rep", "component", "n_shingles", "d1", "text_key", *[f"k{x}" for x in range(d, DEPTH)], "n", "weight"))
+        tables.append(open_)
         small = f"n <= {MOST_DOCS} AND weight <= {MOST_SHINGLES}"
-        done.append(open_.where(small).select(F.col(f"k{d}").alias("node"), "rep", "component", "d1"))
+        done.append(open_.where(small).select(F.col(f"k{d}").alias("node"), "rep", "component", "d1", "text_key"))
         open_ = open_.where(f"NOT ({small})")
         if d + 1 < DEPTH:
             open_ = open_.drop("n", "weight", f"k{d}")
             if not open_.take(1):
-                return _union(done)
+                return _union(done), tables
     # still large at the last depth: every pair of blocks is a node
     blocks = F.ceil(F.greatest(F.col("n") / (MOST_DOCS // 2), F.col("weight") / (MOST_SHINGLES // 2))).cast("int")
     cut = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    done.append(cut.select(F.xxhash64(f"k{DEPTH - 1}", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "component", "d1"))
-    return _union(done)
+    done.append(cut.select(F.xxhash64(f"k{DEPTH - 1}", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "component", "d1", "text_key"))
+    return _union(done), tables
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -205,20 +214,22 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _links(docs: DataFrame, reps: DataFrame, trees: range, size: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between vertices that these trees bring together."""
-    placed = _nodes(reps, trees).join(reps.select("rep", "n_shingles", "sketch"), "rep")
-    near = common.map_groups(placed, "node", lambda members: _alike(members, percent), "node long, rep long, component long, d1 long")
-    near = common.saved(near.dropDuplicates(["node", "rep", "d1"]))
-    wanted = near.groupBy("rep", "d1").agg(F.collect_list(F.struct("node", "component")).alias("places"))
+    nodes, tables = _nodes(reps, trees)
+    placed = nodes.join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    near = common.map_groups(placed, "node", lambda members: _alike(members, percent), "node long, rep long, component long, d1 long, text_key long")
+    near = common.saved(near.dropDuplicates(["node", "rep"]))
+    common.dropped(*tables)
+    wanted = near.groupBy("rep", "d1", "text_key").agg(F.collect_list(F.struct("node", "component")).alias("places"))
     if near.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
+    texts = docs.select(_text_key().alias("text_key"), "text").join(wanted, "text_key")
 
     def make():
         def fn(keys, texts, d1, places):
             out = [[] for _ in range(4)]
             for key, text, want, at in zip(keys.to_pylist(), common.as_bytes(texts), d1.to_pylist(), places.to_pylist()):
                 found = shingles(text, size)
-                if digest(found)[0] == want:  # else another text under the same id
+                if digest(found)[0] == want:  # else another text of the same hash
                     for place in at:
                         for values, x in zip(out, (place["node"], key, place["component"], found.tobytes())):
                             values.append(x)
@@ -236,7 +247,38 @@ def _links(docs: DataFrame, reps: DataFrame, trees: range, size: int, percent: i
         pairs = joined_sets(ids, np.asarray(members["component"])[at], [np.frombuffer(x, np.uint64) for x in found], percent)
         return {"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]} if pairs else None
 
-    return common.saved(common.map_groups(sets, "node", compare, "a long, b long"))
+    links = common.saved(common.map_groups(sets, "node", compare, "a long, b long"))
+    common.dropped(near)
+    return links
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, rounds: tuple) -> tuple[DataFrame, DataFrame]:
+    """The saved sketches of docs, and (d1, d2, copies, component_id, head) for each set of shingles: head is the row that stands for its group."""
+    sketches = common.saved(sketched(docs, size))
+    key = ["d1", "d2"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_key"))
+    classes = sketches.where("n_shingles > 0").groupBy(*key).agg(first.alias("head"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = common.saved(classes.withColumn("rep", F.col("head.row")))
+    reps = classes.select("rep", "d1", "n_shingles", "sketch", F.col("head.text_key").alias("text_key"))
+    labels, links, done = reps.withColumn("component", F.col("rep")), [], 0
+    found = None
+    for trees in rounds:
+        links.append(_links(docs, labels, range(done, done + trees), size, percent))
+        done += trees
+        if found is not None:
+            common.dropped(found)
+        found = common.saved(components(_union(links)).withColumnRenamed("id", "rep"))
+        labels = reps.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # the smallest vertex of a component isn't among those that have one found
+    members = found.unionByName(found.select(F.col("component").alias("rep"), "component").distinct())
+    # a group may have a large share of all sets
+    linked = common.saved(classes.select(*key, "copies", "head", "rep").join(members, "rep"))
+    heads = common.saved(linked.groupBy("component").agg(F.min("head").alias("group_head"), F.count(F.lit(1)).alias("size")))
+    together = common.joined(linked, heads, ["component"], "size").select(*key, "copies", F.col("group_head").alias("head"))
+    alone = classes.join(members, "rep", "left_anti").select(*key, "copies", "head")
+    named = common.saved(together.unionByName(alone).select(*key, "copies", F.col("head.doc_id").alias("component_id"), F.col("head.row").alias("head")))
+    common.dropped(classes, found, linked, heads, *links)
+    return sketches, named
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80, rounds: tuple = ROUNDS) -> DataFrame:
@@ -244,26 +286,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80, rou
 
     Documents are linked if their shingle sets' similarity is percent / 100 or more. A null or empty text, or one without
     words, has no shingles, is linked with nothing and is its own component. Repeated rows share their component; rows with
-    one doc_id and different texts are one vertex of the graph. A row with a null doc_id belongs to the component of the rows
-    with its set of shingles, if one of them has an id, else to none (null); it is kept. Texts of any length are read whole.
+    one doc_id and different texts have each their own. A row with a null doc_id is linked as any other; it belongs to the smallest
+    doc_id of its group, or to none (null) where no row of it has one, and is kept. Texts of any length are read whole.
     Only doc_id and text are read.
     """
-    sketches = common.saved(sketched(docs, size))
+    sketches, named = _grouped(docs, size, percent, rounds)
     key = ["d1", "d2"]
-    classes = sketches.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = common.saved(classes)
-    reps = classes.where("rep IS NOT NULL").drop("d2", "copies")
-    labels, links, done = reps.withColumn("component", F.col("rep")), None, 0
-    found = None
-    for trees in rounds:
-        new = _links(docs, labels, range(done, done + trees), size, percent)
-        links = new if links is None else links.unionByName(new)
-        done += trees
-        if found is not None:
-            common.dropped(found)
-        found = common.saved(components(links))
-        labels = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = classes.select(*key, "rep", "copies").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*key, "copies", F.coalesce("component", "rep").alias("component_id"))
     rows = sketches.select("doc_id", "n_shingles", *key)
     # the copies of one text may be a large share of all rows
     with_words = common.joined(rows.where("n_shingles > 0"), named, key, "copies").select("doc_id", "n_shingles", "component_id")
@@ -276,8 +304,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one row of each group of near duplicates: that of its smallest doc_id. Rows without an id stay."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*docs.columns)))
-    return rows.withColumn("row_of_id", first).where("row_of_id = 1").drop("row_of_id").unionByName(docs.where("doc_id IS NULL"))
+    """docs, all columns, with one row of each group of near duplicates: of its smallest doc_id, where it has one.
+
+    Unlike texts of one doc_id are different documents, and both stay; rows without an id are near copies as any other. Rows that
+    repeat both id and text count once; of their other columns those with the smallest hash stay. Texts without words are in no group.
+    """
+    sketches, named = _grouped(docs, SHINGLE, 80, ROUNDS)
+    heads = named.select(F.col("head").alias("row"), F.lit(True).alias("stays")).distinct()
+    stays = F.coalesce(F.max(F.col("stays") | (F.col("n_shingles") == 0)), F.max(F.col("n_shingles") == 0))
+    keys = common.saved(sketches.select("row", "text_key", "n_shingles").join(heads, "row", "left").groupBy("text_key").agg(stays.alias("stays"), F.count(F.lit(1)).alias("times")).where("stays").drop("stays"))
+    common.dropped(sketches, named)
+    rows = docs.withColumn("text_key", _text_key()).join(keys, "text_key")
+    once = rows.where("times = 1").select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    repeated = rows.where("times > 1").groupBy("text_key", "doc_id", F.sha2("text", 256)).agg(F.min_by(whole, F.xxhash64(*docs.columns)).alias("whole")).select("whole.*")
+    return once.unionByName(repeated)

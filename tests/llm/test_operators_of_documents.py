@@ -333,6 +333,68 @@ def test_near_duplicates_of_awkward_rows(docs, empty):
     assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 8, 9, 10, 11]  # 7 holds little but 6
 
 
+def test_unlike_texts_of_one_id_are_different_documents(spark):
+    one, other, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    near = one.replace(" a39", " edited")
+    rows = [(1, one, "x"), (1, other, "x"), (1, other, "x"), (1, other, "y"), (2, near, "x"), (2, third, "x"), (None, near, "x"), (None, third, "x"), (None, "d1 d2 d3 d4 d5 d6", "x"), (None, "d1 d2 d3 d4 d5 d6", "x"), (3, "", "x"), (4, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(docs).collect()}
+    assert found == {(1, 36, 1, True), (2, 36, 1, False), (2, 36, 2, True), (None, 36, 1, True), (None, 36, 2, True), (None, 2, None, True), (3, 0, 3, True), (4, 0, 4, True)}
+    kept = near_duplicates.one_of_each(docs).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, one), (1, other), (2, third), (None, "d1 d2 d3 d4 d5 d6"), (3, ""), (4, None)], key=repr)
+
+
+def test_long_words_beside_brackets_take_linear_time():
+    import time
+
+    began = time.time()
+    text = "call 123 (x) " + "a" * 5_000_000
+    assert pii.candidates(text) == [] and pii.candidates("(at) " * 300_000 + "b" * 2_000_000) == []
+    assert pii.candidates("+1 (212) 555-0199 " + text + " (at) b [dot] example") == [(0, 17), (31, len(text) + 18 + 21)]
+    assert time.time() - began < 5
+
+
+def test_links_of_a_larger_table_equal_an_exact_join(spark):
+    """Recall over all pairs of sf0.1 of similarity 0.8 or more, found through the shingles that a prefix of each set must share."""
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{LARGE}/documents.parquet'").fetchall()
+    sets = {i: frozenset(near_duplicates.shingles((t or "").encode(), 4).tolist()) for i, t in rows}
+    counts = defaultdict(int)
+    for x in sets.values():
+        for s in x:
+            counts[s] += 1
+    classes = defaultdict(list)
+    for i, x in sets.items():
+        if x:
+            classes[x].append(i)
+    label = {i: min(ids) for ids in classes.values() for i in ids}
+    holders, links = defaultdict(list), []
+    for x in sorted(classes, key=len):
+        order = sorted(x, key=lambda s: (counts[s], s))
+        seen = set()
+        for s in order[: len(x) - -(-80 * len(x) // 100) + 1]:
+            for y in holders[s]:
+                if y not in seen and 100 * len(y) >= 80 * len(x):
+                    seen.add(y)
+                    both = len(x & y)
+                    if 100 * both >= 80 * (len(x) + len(y) - both):
+                        links.append((classes[x][0], classes[y][0]))
+            holders[s].append(x)
+    parent = dict(label)
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        ra, rb = root(label[a]), root(label[b])
+        parent[max(ra, rb)] = min(ra, rb)
+    want = {i: (len(sets[i]), root(label[i]) if sets[i] else i) for i in sets}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.near_duplicates(spark.read.parquet(f"{LARGE}/documents.parquet"), 4).collect()}
+    assert len(links) > 1000 and got == want
+
+
 def test_components_of_a_path(spark):
     links = spark.range(1, 40).selectExpr("id AS a", "id + 1 AS b").union(spark.createDataFrame([(100, 90), (95, 90), (7, 7)], "a long, b long"))
     got = {r.id: r.component for r in components.components(links).collect()}

@@ -10,6 +10,7 @@ import alarmlens.plans.detection  # noqa: F401  registers its queries
 import alarmlens.plans.models  # noqa: F401
 import alarmlens.plans.onsets  # noqa: F401
 import alarmlens.plans.resampling  # noqa: F401
+import alarmlens.plans.sequences  # noqa: F401
 import alarmlens.plans.studies  # noqa: F401
 from alarmlens.operators.catalogue import ORACLES, QUERIES
 

@@ -134,6 +134,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group_docs: int
     out = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def place(key: tuple, rows: pa.Table) -> pa.Table:
+        _memos.clear()  # this worker's, of the stage before
         order = pc.sort_indices(rows.select(["doc_id", "start"]), [("doc_id", "ascending"), ("start", "ascending")]).to_numpy()
         bins, offsets = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         bins[order], offsets[order] = first_fit_decreasing(rows["length"].to_numpy()[order], length)

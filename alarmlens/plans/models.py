@@ -7,26 +7,27 @@ from pyspark.sql import functions as F
 
 from alarmlens.functions.distributions import chi2_sf_sql
 from alarmlens.functions.random import uniform_sql
-from alarmlens.operators import inference, models
+from alarmlens.operators import folds, inference, logistic, models
 from alarmlens.operators.catalogue import QUERIES, query
+from alarmlens.operators.running import numbered
 from alarmlens.plans.evidence import ORACLES
+from alarmlens.plans.onsets import onset_tabular_dataset  # noqa: F401  registers the study's table
 from alarmlens.plans.studies import AUROC_SQL
+from alarmlens.sources.shared import saved
 
 FEATURES = ["level", "diff", "diff2"]
-SHUFFLES, REFITS = 5, 200
-#: The study's table, numbered: id, label, group and fold.
-TABLE_SQL = f"""tb AS ({ORACLES['tabular_dataset']}), ml AS (SELECT row_number() OVER (ORDER BY channel, segment, label, level_d_abs, diff_logvar, diff2_logvar) AS id, channel, segment, label, level_d_abs AS level, diff_logvar AS diff, diff2_logvar AS diff2,
- CAST(floor({uniform_sql('fold', 'channel', 'segment')} * 5) AS BIGINT) AS fold FROM tb)"""
+SHUFFLES, REFITS = 20, 200
+#: The study's table (effects at canonical onsets, and at placebo pivots timed like them), numbered: id, label, group and fold.
+TABLE_SQL = f"""tb AS MATERIALIZED ({ORACLES['onset_tabular_dataset']}), fo AS MATERIALIZED {folds.balanced_sql('tb', ['channel', 'segment'], ['VARCHAR', 'BIGINT'])},
+ml AS MATERIALIZED (SELECT row_number() OVER (ORDER BY channel, segment, label, level_d_abs, diff_logvar, diff2_logvar) AS id, channel, segment, label, level_d_abs AS level, diff_logvar AS diff, diff2_logvar AS diff2, fold FROM tb JOIN fo USING (channel, segment))"""
 PART_SQL = f"{TABLE_SQL}, ev AS (SELECT m.*, part, fold = part AS held FROM ml m, range(0, 5) q(part))"
 
 
 def _table(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = QUERIES["tabular_dataset"](spark, sf_dir).select("channel", "segment", "label", F.col("level_d_abs").alias("level"), F.col("diff_logvar").alias("diff"), F.col("diff2_logvar").alias("diff2"))
-    # ids break ties of distance and of order; the study's table is one row a pivot
-    number = F.row_number().over(Window.partitionBy().orderBy("channel", "segment", "label", *FEATURES)).cast("long")
-    return models.folded(rows.withColumn("id", number), ["channel", "segment"])
+    """The study's table, saved: one row a pivot. Ids break ties of distance and of order."""
+    rows = saved(QUERIES["onset_tabular_dataset"](spark, sf_dir).select("channel", "segment", "label", F.col("level_d_abs").alias("level"), F.col("diff_logvar").alias("diff"), F.col("diff2_logvar").alias("diff2")))
+    rows = folds.balanced(numbered(rows, ["channel", "segment", "label", *FEATURES], "id").withColumn("id", F.col("id") + 1), ["channel", "segment"])
+    return saved(rows)
 
 
 @query(f"WITH {TABLE_SQL} SELECT channel, segment, fold, count(*) AS n FROM ml GROUP BY channel, segment, fold")
@@ -46,20 +47,44 @@ def gaussian_nb(spark, sf_dir):
     return models.naive_bayes(_table(spark, sf_dir), FEATURES).select("id", "label", "probability")
 
 
-@query(f"""WITH {PART_SQL}, ab AS (SELECT 'with level' AS features, label = 1 AS pos, probability AS s FROM ({_bayes_sql(FEATURES)}) UNION ALL SELECT 'without level', label = 1, probability FROM ({_bayes_sql(FEATURES[1:])})),
+#: Features standardised by the other folds' rows, and classes that weigh alike.
+SCALED_SQL = f"""{PART_SQL}, st AS (SELECT part, {', '.join(f'avg({x}) AS m_{x}, stddev_pop({x}) AS s_{x}' for x in FEATURES)} FROM ev WHERE NOT held GROUP BY part),
+z AS MATERIALIZED (SELECT e.id, e.label, e.part, held, {', '.join(f'CASE WHEN s_{x} > 0 THEN ({x} - m_{x}) / s_{x} ELSE 0 END AS {x}' for x in FEATURES)} FROM ev e JOIN st USING (part))"""
+LOGISTIC_ROWS_SQL = f"{SCALED_SQL}, lr AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY part) / (2.0::DOUBLE * count(*) OVER (PARTITION BY part, label)) AS w FROM z WHERE NOT held)"
+
+
+def _logistic_sql(features: list[str], name: str) -> str:
+    """CTEs, the last of which, <name>p, is (id, label, probability) out of fold."""
+    linear = " + ".join(["b_0", *[f"b_{x} * {x}" for x in features]])
+    return f"{name}b AS MATERIALIZED {logistic.fitted_sql('lr', 'part', features)}, {name}p AS (SELECT id, label, 1 / (1 + exp(-({linear}))) AS probability FROM z JOIN {name}b USING (part) WHERE held)"
+
+
+def _logistic(rows: DataFrame, features: list[str], sparse: bool = False) -> DataFrame:
+    """(id, label, probability) out of fold."""
+    train, test = models.scaled(rows, FEATURES)
+    weighted = saved(logistic.balanced(train, ["part"]))
+    return logistic.scored(test, logistic.fitted(weighted, ["part"], features, sparse=sparse), ["part"], features).select("id", "label", "probability")
+
+
+@query(f"WITH {LOGISTIC_ROWS_SQL}, {_logistic_sql(FEATURES, 'f')} SELECT id, CAST(label AS BIGINT) AS label, round(probability, 6) AS probability FROM fp")
+def logistic_scores(spark, sf_dir):
+    """Out-of-fold probabilities of logistic regression with squared penalty, by reweighted least squares."""
+    return _logistic(_table(spark, sf_dir), FEATURES)
+
+
+@query(f"""WITH {LOGISTIC_ROWS_SQL}, {_logistic_sql(FEATURES, 'f')}, {_logistic_sql(FEATURES[1:], 'd')}, ab AS (SELECT 'with level' AS features, label = 1 AS pos, round(probability, 12) AS s FROM fp UNION ALL SELECT 'without level', label = 1, round(probability, 12) FROM dp),
 au AS ({AUROC_SQL.format(by='features', rows='ab').replace('round(sum(won) / nullif(sum(p) * sum(q), 0), 6)', 'sum(won) / nullif(sum(p) * sum(q), 0)')})
 SELECT round(max(auroc) FILTER (features = 'with level'), 6) AS with_level, round(max(auroc) FILTER (features = 'without level'), 6) AS without_level, round(max(auroc) FILTER (features = 'with level') - max(auroc) FILTER (features = 'without level'), 6) AS gain FROM au""")
 def incremental_level(spark, sf_dir):
-    """What the level adds to the differences, out of fold."""
+    """What the level adds to the differences, out of fold, by logistic regression."""
     rows = _table(spark, sf_dir)
-    both = [models.naive_bayes(rows, f).select((F.col("label") == 1).alias("pos"), F.col("probability").alias("s"), F.lit(name).alias("features")) for name, f in (("with level", FEATURES), ("without level", FEATURES[1:]))]
+    both = [_logistic(rows, f).select((F.col("label") == 1).alias("pos"), F.round("probability", 12).alias("s"), F.lit(name).alias("features")) for name, f in (("with level", FEATURES), ("without level", FEATURES[1:]))]
     areas = inference.auroc(both[0].unionByName(both[1]), ["features"], "s", "pos")
     a, b = (F.max(F.when(F.col("features") == name, F.col("auroc"))) for name in ("with level", "without level"))
     return areas.agg(a.alias("with_level"), b.alias("without_level"), (a - b).alias("gain"))
 
 
-@query(f"""WITH {PART_SQL}, st AS (SELECT part, {', '.join(f'avg({x}) AS m_{x}, stddev_pop({x}) AS s_{x}' for x in FEATURES)} FROM ev WHERE NOT held GROUP BY part),
-z AS (SELECT e.id, e.label, e.part, held, {', '.join(f'CASE WHEN s_{x} > 0 THEN ({x} - m_{x}) / s_{x} ELSE 0 END AS {x}' for x in FEATURES)} FROM ev e JOIN st USING (part)),
+@query(f"""WITH {SCALED_SQL},
 d AS (SELECT a.id, a.label AS own, b.label, row_number() OVER (PARTITION BY a.id ORDER BY (b.level - a.level) * (b.level - a.level) + (b.diff - a.diff) * (b.diff - a.diff) + (b.diff2 - a.diff2) * (b.diff2 - a.diff2), b.id) AS place FROM z a JOIN z b ON a.part = b.part AND a.held AND NOT b.held)
 SELECT id, round(avg(label::DOUBLE), 6) AS probability FROM d WHERE place <= 15 GROUP BY id""")
 def knn_scores(spark, sf_dir):
@@ -131,7 +156,7 @@ def _permuted_sql() -> str:
     for x in FEATURES:
         key = "channel, segment, label, level, diff, diff2"
         dealt = f"SELECT rep, {x} AS new, row_number() OVER (PARTITION BY rep ORDER BY {uniform_sql(f'shuffle-{x}', 'rep', 'id')}, id) AS id FROM ml, range(1, {SHUFFLES} + 1) q(rep)"
-        parts.append(f"SELECT '{x}' AS feature, rep, {' + '.join(f'b_{y} * {chr(110) + chr(101) + chr(119) if y == x else y}' for y in FEATURES)} AS s, label = 1 AS pos FROM ml JOIN ({dealt}) d USING (id), co")
+        parts.append(f"SELECT '{x}' AS feature, rep, {' + '.join(f'b_{y} * new' if y == x else f'b_{y} * {y}' for y in FEATURES)} AS s, label = 1 AS pos FROM ml JOIN ({dealt}) d USING (id), co")
     whole = f"SELECT 'whole' AS feature, 0 AS rep, {' + '.join(f'b_{y} * {y}' for y in FEATURES)} AS s, label = 1 AS pos FROM ml, co"
     return " UNION ALL ".join([whole, *parts])
 
@@ -163,21 +188,3 @@ def stability_bootstrap(spark, sf_dir):
     size = {x: F.abs(F.col(f"b_{x}") * F.col(f"s_{x}")) for x in FEATURES}
     each = fits.crossJoin(F.broadcast(spread)).select(*[size[x].alias(f"i_{x}") for x in FEATURES])
     return each.agg(F.count(F.lit(1)).alias("n_replicates"), F.avg((F.col("i_diff") + F.col("i_diff2") > F.col("i_level")).cast("double")).alias("share_differences_first"), F.avg(F.col("i_level") / (F.col("i_level") + F.col("i_diff") + F.col("i_diff2"))).alias("mean_level_share"))
-
-
-@query()
-def model_leaderboard(spark, sf_dir):
-    """Out-of-fold AUROC, and recall and false-alarm share at Youden's cut, of every model but the excluded ones, best first."""
-    from alarmlens.operators import studies
-
-    rows = _table(spark, sf_dir).persist()
-    train, test = models.scaled(rows, FEATURES)
-    scored = {name: (family, models.out_of_fold(rows, FEATURES, name)) for name, (family, _) in models.MODELS.items()}
-    scored["gaussian_nb"] = "probabilistic", models.naive_bayes(rows, FEATURES)
-    scored["knn"] = "instances", models.neighbours(train, test, FEATURES).join(rows.select("id", "label"), "id")
-    out = None
-    for name, (family, part) in scored.items():
-        part = part.select((F.col("label") == 1).alias("pos"), F.col("probability").alias("s"))
-        line = inference.auroc(part, [], "s", "pos").crossJoin(studies.youden(part, "s", "pos").select("recall", "false_alarm_rate")).select(F.lit(name).alias("model"), F.lit(family).alias("family"), "*")
-        out = line if out is None else out.unionByName(line)
-    return out.orderBy(F.col("auroc").desc_nulls_last(), "model")

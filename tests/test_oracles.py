@@ -7,6 +7,7 @@ import pytest
 
 import alarmlens.plans.evidence  # noqa: F401
 import alarmlens.plans.detection  # noqa: F401  registers its queries
+import alarmlens.plans.ensembles  # noqa: F401
 import alarmlens.plans.models  # noqa: F401
 import alarmlens.plans.onsets  # noqa: F401
 import alarmlens.plans.resampling  # noqa: F401

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alarmlens.functions.random import uniform
+from alarmlens.operators.running import running
 
 
 def joint_false_alarm(scores: DataFrame, features: list[str], level: float) -> DataFrame:
@@ -18,11 +19,10 @@ def joint_false_alarm(scores: DataFrame, features: list[str], level: float) -> D
     n = normal.agg(F.count(F.lit(1)).alias("n"))
     ranked = normal
     for f in features:
-        counts = normal.groupBy(f).count()
-        rank = counts.select(f, F.sum("count").over(Window.partitionBy().orderBy(F.desc(f))).alias(f"{f}_rank"))
+        rank = running(normal.groupBy(f).count(), [F.desc(f)], {f"{f}_rank": "count"}).drop("count")
         ranked = ranked.join(rank, f)
     fires = ranked.select(F.least(*[F.col(f"{f}_rank") for f in features]).alias("rank")).groupBy("rank").count()
-    total = fires.select("rank", F.sum("count").over(Window.partitionBy().orderBy("rank")).alias("firing"))
+    total = running(fires, ["rank"], {"firing": "count"}).drop("count")
     kept = total.crossJoin(F.broadcast(n)).where(F.col("firing") <= level * F.col("n"))
     return kept.agg(F.max(F.col("rank") / F.col("n")).alias("q"), F.max(F.col("firing") / F.col("n")).alias("joint_far"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from alarmlens.functions.random import uniform
 from alarmlens.operators import alarms, effects
+from alarmlens.operators.running import running
 
 # Fixed values of the method.
 MAX_LAG, SCORES_AFTER = 15, 40
@@ -99,8 +100,11 @@ def auc_pairs(rows: DataFrame, cluster: str, score: str, positive: str) -> DataF
     each = rows.where(F.col(score).isNotNull()).groupBy(cluster, score).agg(F.count_if(F.col(positive)).cast("double").alias("p"), F.count_if(~F.col(positive)).cast("double").alias("q"))
 
     def sums(counts: DataFrame, by: list[str]) -> DataFrame:
-        below = F.coalesce(F.sum("q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        totals = counts.withColumn("won", F.col("p") * (below + F.col("q") / 2)).groupBy(*by).agg(F.sum("won").alias("won"), (F.sum("p") * F.sum("q")).alias("pairs"))
+        if by:
+            counts = counts.withColumn("upto", F.sum("q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)))
+        else:
+            counts = running(counts, [score], {"upto": "q"})
+        totals = counts.withColumn("won", F.col("p") * (F.col("upto") - F.col("q") / 2)).groupBy(*by).agg(F.sum("won").alias("won"), (F.sum("p") * F.sum("q")).alias("pairs"))
         return totals.agg(F.sum("won").alias("won"), F.sum("pairs").alias("pairs"))
 
     whole = sums(each.groupBy(score).agg(F.sum("p").alias("p"), F.sum("q").alias("q")), [])

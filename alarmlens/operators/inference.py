@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alarmlens.functions import distributions
+from alarmlens.operators.running import running
 
 
 def mid_rank(by: list[str], value: str) -> Column:
@@ -139,9 +140,12 @@ def wilson(rows: DataFrame, hits: str, n: str, z: float = 1.96) -> DataFrame:
 
 
 def auroc(rows: DataFrame, by: list[str], score: str, positive: str, weight: str | None = None) -> DataFrame:
-    """(Weighted) area under the ROC curve: one sort of the distinct scores of each group."""
+    """(Weighted) area under the ROC curve, from running sums over distinct scores: inside each group, or by ranges where there is one group."""
     w = F.col(weight) if weight else F.lit(1.0)
     each = rows.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.when(F.col(positive), w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(positive), 0.0).otherwise(w)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = each.withColumn("won", F.col("p") * (below + F.col("q") / 2)).groupBy(*by).agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    if by:
+        each = each.withColumn("upto", F.sum("q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        each = running(each, [score], {"upto": "q"})
+    won = each.withColumn("won", F.col("p") * (F.col("upto") - F.col("q") / 2)).groupBy(*by).agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return won.select(*by, F.try_divide(F.col("won"), F.col("p") * F.col("q")).alias("auroc"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from alarmlens.sources.telemetry import differences
 
@@ -97,17 +102,22 @@ def shrink(variances: DataFrame, value: str, n: str) -> DataFrame:
 def kalman(samples: DataFrame, noise: DataFrame) -> DataFrame:
     """Innovations nu and their variances s of a local-linear-trend filter, per sample, for segments joined with (channel, r, q).
 
-    The recursion folds a segment's values in the JVM; its state has five numbers.
+    Segments stream through a task in order; it holds a filter's five numbers. A missing value has no innovation and moves nothing.
     """
-    segments = samples.groupBy("channel", "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("values"))
-    zero = "named_struct('x0', 0D, 'x1', 0D, 'a', 10D, 'b', 0D, 'c', 10D, 'out', cast(array() as array<struct<nu:double,s:double>>))"
-    step = """(z, y) -> named_struct(
-      'x0', z.x0 + z.x1 + (z.a + 2D * z.b + z.c) / (z.a + 2D * z.b + z.c + r) * (y - (z.x0 + z.x1)),
-      'x1', z.x1 + (z.b + z.c) / (z.a + 2D * z.b + z.c + r) * (y - (z.x0 + z.x1)),
-      'a', (z.a + 2D * z.b + z.c) - (z.a + 2D * z.b + z.c) / (z.a + 2D * z.b + z.c + r) * (z.a + 2D * z.b + z.c),
-      'b', (z.b + z.c) - (z.a + 2D * z.b + z.c) / (z.a + 2D * z.b + z.c + r) * (z.b + z.c),
-      'c', (z.c + q) - (z.b + z.c) / (z.a + 2D * z.b + z.c + r) * (z.b + z.c),
-      'out', concat(z.out, array(named_struct('nu', y - (z.x0 + z.x1), 's', z.a + 2D * z.b + z.c + r))))"""
-    run = segments.join(F.broadcast(noise.select("channel", "r", "q")), "channel").withColumn("out", F.expr(f"aggregate(values, {zero}, {step}, z -> z.out)"))
-    return run.select("channel", "segment", F.posexplode("out").alias("t", "o")).select("channel", "segment", F.col("t").cast("long").alias("t"), "o.nu", "o.s")
-
+    rows = samples.join(noise.select("channel", "r", "q"), "channel").select("channel", "segment", "t", "value", "r", "q")
+    schema = T.StructType([*rows.select("channel", "segment").schema.fields, *T.StructType.fromDDL("t long, nu double, s double").fields])
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from alarmlens.operators.bocpd import Filter  # which imports this module
+
+        key = filtered = None
+        for batch in batches:
+            made = []
+            for name, y, r, q in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), *(batch.column(k).to_pylist() for k in (3, 4, 5))):
+                if name != key:
+                    key, filtered = name, Filter(r, q) if r is not None and q is not None else None
+                made.append(filtered.step(y) if filtered and y is not None else (None, None))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).cast(out.field(k).type) for k in range(3)), *(pa.array(x, pa.float64()) for x in zip(*made))], schema=out) if made else pa.RecordBatch.from_pylist([], schema=out)
+
+    return rows.repartition("channel", "segment").sortWithinPartitions("channel", "segment", "t").mapInArrow(run, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from alarmlens.functions.random import uniform
 from alarmlens.operators import inference
+from alarmlens.operators.running import running
 
 #: Webb's six points, of equal probability.
 WEBB = [-math.sqrt(1.5), -1.0, -math.sqrt(0.5), math.sqrt(0.5), 1.0, math.sqrt(1.5)]
@@ -46,10 +47,10 @@ def interval(replicates: DataFrame, by: list[str], value: str) -> DataFrame:
 def influence(rows: DataFrame, cluster: str, score: str, positive: str) -> DataFrame:
     """(cluster, psi, auroc): what each cluster adds to the AUROC's first-order expansion, from running counts of distinct scores."""
     each = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(positive)).cast("double").alias("p"), F.count_if(~F.col(positive)).cast("double").alias("q"))
-    order, whole = Window.partitionBy().orderBy(score).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    below = [F.coalesce(F.sum(c).over(order), F.lit(0.0)) for c in "pq"]
-    table = each.select(score, F.sum("p").over(whole).alias("np"), F.sum("q").over(whole).alias("nq"), ((below[1] + F.col("q") / 2) / F.sum("q").over(whole)).alias("wins"), ((F.sum("p").over(whole) - below[0] - F.col("p") / 2) / F.sum("p").over(whole)).alias("losses"), "p")
-    table = table.withColumn("auroc", F.sum(F.col("p") * F.col("wins")).over(whole) / F.col("np")).drop("p")
+    counted = running(each, [score], {"p_upto": "p", "q_upto": "q"}).crossJoin(F.broadcast(each.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))))
+    wins, losses = (F.col("q_upto") - F.col("q") / 2) / F.col("nq"), (F.col("np") - F.col("p_upto") + F.col("p") / 2) / F.col("np")
+    table = counted.select(score, "np", "nq", wins.alias("wins"), losses.alias("losses"), "p")
+    table = table.crossJoin(F.broadcast(table.agg((F.sum(F.col("p") * F.col("wins")) / F.max("np")).alias("auroc")))).drop("p")
     met = rows.join(table, score)
     psi = F.when(F.col(positive), (F.col("wins") - F.col("auroc")) / F.col("np")).otherwise((F.col("losses") - F.col("auroc")) / F.col("nq"))
     return met.groupBy(cluster).agg(F.sum(psi).alias("psi"), F.first("auroc").alias("auroc"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alarmlens.operators import effects
+from alarmlens.operators.running import running
 from alarmlens.sources.telemetry import differences
 
 # Fixed values of the method.
@@ -118,9 +119,8 @@ def empirical_p(observed: DataFrame, placebo: DataFrame, value: str) -> DataFram
 def youden(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """The score cut with the largest recall less false-alarm share (ties: the highest cut), over distinct scores."""
     each = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    down = Window.partitionBy().orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     totals = each.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
-    curve = each.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("q").over(down)).crossJoin(F.broadcast(totals))
+    curve = running(each, [F.desc(score)], {"tp": "p", "fp": "q"}).crossJoin(F.broadcast(totals))
     curve = curve.select(F.col(score).alias("cut"), F.try_divide(F.col("tp").cast("double"), "np").alias("recall"), F.try_divide(F.col("fp").cast("double"), "nq").alias("false_alarm_rate"))
     return curve.withColumn("youden_j", F.col("recall") - F.col("false_alarm_rate")).orderBy(F.round("youden_j", 9).desc(), F.desc("cut")).limit(1)
 

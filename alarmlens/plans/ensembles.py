@@ -67,7 +67,7 @@ SELECT part, tree, {_NAME_SQL} AS feature, cut, round(low, 6) AS low, round(high
 def boosting_stumps(spark, sf_dir):
     """The first two trees of second-order boosting with one cut each, in each fold: cut and leaves."""
     model = trees.trained(_binned(_table(spark, sf_dir))[0], FEATURES, STUMPS)
-    rows = _nodes(model).join(model.select("part", "tree", F.col("value")[1].alias("low"), F.col("value")[2].alias("high")), ["part", "tree"])
+    rows = _nodes(model).join(model.select("part", "tree", F.get("value", F.lit(1)).alias("low"), F.get("value", F.lit(2)).alias("high")), ["part", "tree"])
     return rows.select("part", "tree", "feature", "cut", "low", "high")
 
 

@@ -10,7 +10,6 @@ from alarmlens.operators.catalogue import EFFECT_SQL, MW_COLUMNS, NOISE_SQL, NOM
 from alarmlens.plans.detection import DETECT_SQL, found
 from alarmlens.plans.evidence import ORACLES, best_lag_xcorr, influence_flags
 from alarmlens.plans.onsets import effect_table_sql
-from alarmlens.sources import files
 from alarmlens.sources.telemetry import from_events
 
 REPS = 1000
@@ -191,12 +190,6 @@ def study_weights(spark, sf_dir):
     return meta.study_weights(rows, ["feature"], "channel")
 
 
-@query(files.SYNTHETIC_SQL)
-def synthetic_telemetry(spark, sf_dir):
-    """The generated table, its values in billionths."""
-    return files.synthetic(spark).withColumn("nano_value", F.round(F.col("value") * 1e9, 3) + 0).drop("value")
-
-
 @query(f"""WITH {NOISE_SQL}, e AS (SELECT DISTINCT channel FROM tele) SELECT e.channel, round(coalesce(r, 1e-14), 6) AS r, round(coalesce(q, 1e-14), 6) AS q, coalesce(n_diff, 0) AS n_diff FROM e LEFT JOIN simple USING (channel)""")
 def estimator_dispatch(spark, sf_dir):
     return profile.estimated(from_events(spark, sf_dir), "simple")

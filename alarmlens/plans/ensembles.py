@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alarmlens.functions.random import uniform_sql
-from alarmlens.operators import coalitions, inference, kernel, logistic, models, trees
+from alarmlens.operators import coalitions, inference, kernel, logistic, models, refits, trees
 from alarmlens.operators.catalogue import QUERIES, query
 from alarmlens.plans import sequences
 from alarmlens.plans.models import FEATURES, LOGISTIC_ROWS_SQL, PART_SQL, _logistic, _table
@@ -208,3 +208,9 @@ def model_agreement(spark, sf_dir):
     whole = rows.agg(F.countDistinct("model").alias("n_models"))
     top = inference.binomial_not_top(models.importance_pivot(rows, FEATURES), "level", ["diff", "diff2"]).select("n_not_top", F.col("p_value").alias("p_not_top"))
     return whole.crossJoin(inference.kendall_w(rows, "model", "feature", "share")).crossJoin(top)
+
+
+@query()
+def stability_refits(spark, sf_dir):
+    """200 refits of a forest and of logistic regression on rows drawn inside classes, by permutation importance."""
+    return refits.summary(refits.stability(_table(spark, sf_dir), FEATURES))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from alarmlens.operators import coalitions, folds, kernel, logistic, models, trees
+from alarmlens.operators import coalitions, folds, kernel, logistic, models, refits, trees
 from alarmlens.plans import ensembles
 
 FEATURES = ["level", "diff", "diff2"]
@@ -156,3 +156,25 @@ def test_scaled_parts_are_standardised_by_their_training_rows(table):
     train, test = models.scaled(table, FEATURES)
     stats = train.groupBy("part").agg(*[F.avg(f).alias(f"m_{f}") for f in FEATURES], *[F.stddev_pop(f).alias(f"s_{f}") for f in FEATURES]).collect()
     assert len(stats) == 5 and test.count() == 240 and all(abs(r[f"m_{f}"]) < 1e-9 and abs(r[f"s_{f}"] - 1) < 1e-9 for r in stats for f in FEATURES)
+
+
+def test_shuffles_keep_counts():
+    rng = np.random.default_rng(2)
+    values, n = rng.integers(0, 5, 40), rng.integers(0, 6, 40)
+    cell, value, count = refits.shuffled(rng, values, n)
+    assert (np.bincount(cell, count, 40) == n).all()
+    assert (np.bincount(value, count, 5) == np.bincount(values, n, 5)).all()
+    assert refits.auroc(np.array([1, 2, 2, 3.0]), np.array([0, 0, 1, 1]), np.array([2, 1, 1, 3])) == (3 * 3 + 2 + 0.5) / 12
+
+
+def test_refits_find_what_matters(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    label = (x[:, 1] + 0.3 * rng.normal(size=300) > 0).astype(int)
+    rows = spark.createDataFrame([(int(y), *map(float, v)) for y, v in zip(label, x)], "label long, level double, diff double, diff2 double")
+    few = refits.stability(rows, FEATURES, 4, refits.FOREST | {"trees": 10})
+    each = few.collect()
+    assert len(each) == 8 and all(r["diff"] > 0.2 > r.level and r["diff"] > r.diff2 for r in each)
+    again = refits.stability(rows.repartition(5), FEATURES, 4, refits.FOREST | {"trees": 10})
+    assert sorted(again.collect()) == sorted(each)
+    assert {(r.model, r.n_replicates, r.share_differences_first) for r in refits.summary(few).collect()} == {("forest", 4, 1.0), ("logistic", 4, 1.0)}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alarmlens.functions.random import uniform_sql
-from alarmlens.operators import alarms, bocpd, effects, inference, meta, profile, resampling, studies
-from alarmlens.operators.catalogue import EFFECT_SQL, MW_COLUMNS, NOISE_SQL, NOMINAL_SQL, SR_COLUMNS, TELEMETRY_SQL, Z_SQL, _effects, _labelled, _peaks, query, rank_sum_sql, signed_rank_sql
+from alarmlens.operators import alarms, bocpd, effects, inference, meta, profile, resampling, rules, studies
+from alarmlens.operators.catalogue import EFFECT_SQL, MW_COLUMNS, NOISE_SQL, NOMINAL_SQL, PIVOT_SQL, SR_COLUMNS, TELEMETRY_SQL, Z_SQL, _effects, _labelled, _peaks, query, rank_sum_sql, signed_rank_sql
 from alarmlens.plans.detection import DETECT_SQL, found
 from alarmlens.plans.evidence import ORACLES, best_lag_xcorr, influence_flags
 from alarmlens.plans.onsets import effect_table_sql
@@ -66,12 +66,12 @@ def wild_cluster_bootstrap(spark, sf_dir):
     return resampling.interval(resampling.wild(psi, "source", 2000), ["scheme"], "auroc")
 
 
-def _fused_sql(rows: str, by: str) -> str:
+def _fused_sql(rows: str, by: str, features: list[str] = FEATURES, levels: list[float] = LEVELS) -> str:
     part, names = (f"PARTITION BY {by} ", f"{by}, ") if by else ("", "")
-    ranks = ", ".join(f"count(*) FILTER (anomaly = 0) OVER ({part}ORDER BY {f} DESC RANGE UNBOUNDED PRECEDING) AS {f}_rank" for f in FEATURES)
-    return f"""fr AS (SELECT {names}anomaly, count(*) FILTER (anomaly = 0) OVER ({part.strip()}) AS n, {ranks} FROM {rows} WHERE {' AND '.join(f'{f} IS NOT NULL' for f in FEATURES)}),
-ff AS (SELECT {names}anomaly, n, least({', '.join(f'{f}_rank' for f in FEATURES)}) AS rank FROM fr), fc AS (SELECT {names}rank, max(n) AS n, count(*) FILTER (anomaly = 0) AS c FROM ff GROUP BY {names}rank),
-ft AS (SELECT *, sum(c) OVER ({part}ORDER BY rank) AS firing FROM fc WHERE c > 0), fb AS (SELECT {names}level, max(rank) AS cut, max(firing) AS firing, max(n) AS n FROM ft, (VALUES {', '.join(f'({x}::DOUBLE)' for x in LEVELS)}) v(level) WHERE firing <= level * n GROUP BY {names}level),
+    ranks = ", ".join(f"count(*) FILTER (anomaly = 0) OVER ({part}ORDER BY {f} DESC RANGE UNBOUNDED PRECEDING) AS {f}_rank" for f in features)
+    return f"""fr AS (SELECT {names}anomaly, count(*) FILTER (anomaly = 0) OVER ({part.strip()}) AS n, {ranks} FROM {rows} WHERE {' AND '.join(f'{f} IS NOT NULL' for f in features)}),
+ff AS (SELECT {names}anomaly, n, least({', '.join(f'{f}_rank' for f in features)}) AS rank FROM fr), fc AS (SELECT {names}rank, max(n) AS n, count(*) FILTER (anomaly = 0) AS c FROM ff GROUP BY {names}rank),
+ft AS (SELECT *, sum(c) OVER ({part}ORDER BY rank) AS firing FROM fc WHERE c > 0), fb AS (SELECT {names}level, max(rank) AS cut, max(firing) AS firing, max(n) AS n FROM ft, (VALUES {', '.join(f'({x}::DOUBLE)' for x in levels)}) v(level) WHERE firing <= level * n GROUP BY {names}level),
 fh AS (SELECT {names}rank, count(*) AS c FROM ff WHERE anomaly = 1 GROUP BY {names}rank)
 SELECT {f'b.{by}, ' if by else ''}level, round(cut / b.n::DOUBLE, 6) AS q, round(firing / b.n::DOUBLE, 6) AS joint_far, round(sum(CASE WHEN rank < cut THEN c ELSE 0 END) / sum(c)::DOUBLE, 6) AS coverage FROM fb b JOIN fh h ON {f'b.{by} = h.{by}' if by else 'true'} GROUP BY {f'b.{by}, ' if by else ''}level, cut, firing, b.n"""
 
@@ -82,6 +82,26 @@ def joint_far_grid(spark, sf_dir):
     return resampling.fused(_peaks(spark, sf_dir), FEATURES, LEVELS)
 
 
+_STATISTICS = ", ".join(f"round({c}, 6) AS {c}" for c in rules.STATISTICS)
+SLOTS, RULE_LEVELS = ["s1", "s2", "s3", "s4"], [0.01, 0.05]
+
+
+@query(f"WITH {PIVOT_SQL}, {rules.STATISTICS_SQL} SELECT channel, segment, pivot_t, {_STATISTICS} FROM st")
+def rule_statistics(spark, sf_dir):
+    """Seventeen chart statistics of each pivot's window: peaks, shifts, variances, sums, weighted means, and longest runs on one side."""
+    rows = from_events(spark, sf_dir)
+    return rules.statistics(rows, effects.pivots(rows))
+
+
+@query(f"WITH {PIVOT_SQL}, {rules.STATISTICS_SQL}, {rules.BY_RULE_SQL}, {_fused_sql('br', 'rule', SLOTS, RULE_LEVELS)}")
+def chart_rules(spark, sf_dir):
+    """Twenty-six rules (seventeen statistics, nine combinations), each at a joint false-alarm rate of 1 and of 5 %, with its coverage."""
+    rows = from_events(spark, sf_dir)
+    points = effects.pivots(rows)
+    found = rules.statistics(rows, points).join(points.select("channel", "segment", "anomaly"), ["channel", "segment"])
+    return resampling.fused(rules.by_rule(found), SLOTS, RULE_LEVELS, ["rule"])
+
+
 @query(f"WITH {Z_SQL}, lo AS (SELECT e.channel AS excluded, p.anomaly, {', '.join(FEATURES)} FROM peaks p, (SELECT DISTINCT channel FROM peaks) e WHERE p.channel <> e.channel), {_fused_sql('lo', 'excluded')}")
 def joint_far_leave_one_out(spark, sf_dir):
     """The same with each channel left out; channels are few, and a segment is repeated once for each."""

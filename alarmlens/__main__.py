@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 import alarmlens.plans.detection  # noqa: F401  registers its queries
+import alarmlens.plans.ensembles  # noqa: F401
 import alarmlens.plans.evidence  # noqa: F401
 import alarmlens.plans.models  # noqa: F401
 import alarmlens.plans.onsets  # noqa: F401
@@ -25,7 +26,7 @@ from alarmlens.sources.telemetry import from_events
 
 STAGES = {
     "layer3": ("mc_correction", "mc_channel_summary", "canonical_onset", "onset_placebo_pool", "placebo_mannwhitney", "precedence_wilcoxon", "triple_verification", "dl_meta_by_feature", "dl_meta_fraction", "loo_sensitivity", "influence_flags"),
-    "models": ("onset_tabular_dataset", "model_leaderboard", "importance_pivot", "family_summary", "agreement_summary", "stability_bootstrap"),
+    "models": ("onset_tabular_dataset", "model_leaderboard", "model_importance", "model_agreement", "importance_pivot", "family_summary", "agreement_summary", "stability_bootstrap"),
 }
 
 

@@ -1,7 +1,7 @@
 """Classifiers on a table of features, evaluated out of fold by group, and what their decisions rest on.
 
 Closed-form models (Gaussian naive Bayes, a diagonal linear discriminant) are aggregations and expressions; nearest neighbours
-come block by block; logistic regression, forests, boosting and a small network are MLlib's.
+come block by block; a small network is MLlib's. Logistic regression, trees, kernel machines and sequence networks have their own modules.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -21,20 +21,8 @@ from alarmlens.operators import inference
 
 FOLDS, NEIGHBOURS, BLOCK = 5, 15, 4096
 SMOOTHING = 1e-9
-#: Fixed values of the method: trees, depth, step, and penalty of the registered models.
-MODELS = {
-    "logreg_l2": ("linear", lambda: LogisticRegression(regParam=0.01, elasticNetParam=0.0, weightCol="w")),
-    "logreg_l1": ("linear", lambda: LogisticRegression(regParam=0.01, elasticNetParam=1.0, weightCol="w")),
-    "random_forest": ("trees", lambda: RandomForestClassifier(numTrees=20, maxDepth=6, weightCol="w", seed=42)),
-    "gradient_boosting": ("trees", lambda: GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.1, weightCol="w", seed=42)),
-}
-#: Registered, but kept out of leaderboards.
-EXCLUDED = {"extra_trees_like": ("trees", lambda: RandomForestClassifier(numTrees=20, maxDepth=6, featureSubsetStrategy="1", weightCol="w", seed=43)), "mlp_shallow": ("network", lambda: MultilayerPerceptronClassifier(layers=[3, 16, 8, 2], maxIter=60, seed=42))}
-
-
-def folded(rows: DataFrame, group: list[str], folds: int = FOLDS) -> DataFrame:
-    """Adds fold: whole groups are dealt to folds by a hash of their name."""
-    return rows.withColumn("fold", F.floor(uniform("fold", *group) * folds).cast("long"))
+#: Fixed values of the method: layers and passes of a network that is registered, but kept out of leaderboards.
+EXCLUDED = {"mlp_shallow": ("network", lambda: MultilayerPerceptronClassifier(layers=[3, 16, 8, 2], maxIter=60, seed=42))}
 
 
 def _each_fold(rows: DataFrame, folds: int) -> DataFrame:
@@ -151,12 +139,9 @@ def scaled(rows: DataFrame, features: list[str], folds: int = FOLDS) -> tuple[Da
 
 
 def out_of_fold(rows: DataFrame, features: list[str], name: str, folds: int = FOLDS) -> DataFrame:
-    """(id, label, probability) by one of MODELS, each fold scored by a model of the others; classes weigh alike."""
-    make = {**MODELS, **EXCLUDED}[name][1]
-    shares_ = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(shares_.values())
-    weighted = rows.withColumn("w", F.when(F.col("label") == 1, total / (2.0 * max(shares_.get(1, 0), 1))).otherwise(total / (2.0 * max(shares_.get(0, 0), 1))))
-    vectors = VectorAssembler(inputCols=features, outputCol="raw").transform(weighted)
+    """(id, label, probability) by one of EXCLUDED, each fold scored by a model of the others."""
+    make = EXCLUDED[name][1]
+    vectors = VectorAssembler(inputCols=features, outputCol="raw").transform(rows)
     out = None
     for fold in range(folds):
         train, test = vectors.where(F.col("fold") != fold), vectors.where(F.col("fold") == fold)

@@ -142,6 +142,12 @@ def svm_scores(spark, sf_dir):
     return _machine(saved(train))(test).select("id", "label", "probability")
 
 
+@query()
+def shallow_network(spark, sf_dir):
+    """Out-of-fold probabilities of the small network that is kept out of the leaderboard."""
+    return models.out_of_fold(_table(spark, sf_dir), FEATURES, "mlp_shallow")
+
+
 def _side_by_side(spark, sf_dir, networks: list[str]) -> tuple[DataFrame, DataFrame]:
     """(model, family, label, probability) out of fold, and (model, family, feature, share), of every model."""
     rows = _table(spark, sf_dir)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alarmlens.__main__ import main
-from alarmlens.operators import models, profile, resampling
+from alarmlens.operators import folds, models, profile, resampling
 from alarmlens.sources import files
 
 
@@ -84,10 +84,9 @@ def test_fused_rule_equals_search(spark):
 def test_fitted_models_rank_separated_classes(spark):
     rng = np.random.default_rng(6)
     rows = [(i, f"g{i // 3}", int(i % 2), float(rng.normal(3 * (i % 2), 1)), float(rng.normal()), float(rng.normal())) for i in range(120)]
-    table = models.folded(spark.createDataFrame(rows, "id long, g string, label long, level double, diff double, diff2 double"), ["g"])
-    for name in ("logreg_l2", "random_forest", "mlp_shallow"):
-        scored = models.out_of_fold(table, ["level", "diff", "diff2"], name, 5).collect()
-        mean = [np.mean([r.probability for r in scored if r.label == y]) for y in (0, 1)]
-        assert len(scored) == 120 and mean[1] > mean[0] + 0.3
+    table = folds.balanced(spark.createDataFrame(rows, "id long, g string, label long, level double, diff double, diff2 double"), ["g"])
+    scored = models.out_of_fold(table, ["level", "diff", "diff2"], "mlp_shallow", 5).collect()
+    mean = [np.mean([r.probability for r in scored if r.label == y]) for y in (0, 1)]
+    assert len(scored) == 120 and mean[1] > mean[0] + 0.3
     shares = {r.feature: r.share for r in models.attributions(table.withColumn("k", F.lit(1)), ["level", "diff", "diff2"], ["k"]).where("method = 'shap'").collect()}
     assert shares["level"] > 0.6 and sum(shares.values()) == pytest.approx(1)

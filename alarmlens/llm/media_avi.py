@@ -297,7 +297,11 @@ def clips(media: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text is stored, read back from the stored bytes and described, in one pass: the files are never shuffled."""
+    """Each text is stored, read back from the stored bytes and described, in one pass: the files are never shuffled.
+
+    A null or empty text is one frame of zeros. Texts are taken whole, up to the 4 GB that a RIFF file can say. Rows come back as
+    often as they occur, null ids too; an empty table gives none. Other columns are not read.
+    """
 
     def make():
         def fn(ids, texts):

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from alarmlens.functions.distributions import chi2_sf_sql
 from alarmlens.functions.random import uniform_sql
-from alarmlens.operators import folds, inference, logistic, models
+from alarmlens.operators import alarms, folds, inference, logistic, models, resampling
 from alarmlens.operators.catalogue import QUERIES, query
 from alarmlens.operators.running import numbered
 from alarmlens.plans.evidence import ORACLES
 from alarmlens.plans.onsets import onset_tabular_dataset  # noqa: F401  registers the study's table
+from alarmlens.plans.resampling import REPS, _auc_of
 from alarmlens.plans.studies import AUROC_SQL
 from alarmlens.sources.shared import saved
 
@@ -84,6 +85,24 @@ def incremental_level(spark, sf_dir):
     return areas.agg(a.alias("with_level"), b.alias("without_level"), (a - b).alias("gain"))
 
 
+@query(f"""WITH {LOGISTIC_ROWS_SQL}, {_logistic_sql(FEATURES, 'f')}, {_logistic_sql(FEATURES[1:], 'd')},
+un AS MATERIALIZED (SELECT channel || '_' || segment AS g, m.label AS anomaly, round(fp.probability, 12) AS with_level, round(dp.probability, 12) AS without_level FROM ml m JOIN fp USING (id) JOIN dp USING (id)),
+cl AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT g FROM un)),
+dr AS (SELECT rep, CAST(floor({uniform_sql('level-gain', 'rep', 'draw')} * k) AS BIGINT) AS i FROM (SELECT DISTINCT k FROM cl), range(1, {REPS} + 1) r(rep), range(1, 10000) q(draw) WHERE draw <= k),
+we AS (SELECT rep, g, count(*)::DOUBLE AS w FROM dr JOIN cl USING (i) GROUP BY rep, g), wr AS MATERIALIZED (SELECT rep, anomaly, with_level, without_level, w FROM un JOIN we USING (g)),
+x AS ({_auc_of('wr', 'with_level')}), y AS ({_auc_of('wr', 'without_level')}), v AS (SELECT x.a - y.a AS v FROM x JOIN y USING (rep))
+SELECT count(v) AS n_replicates, round(quantile_cont(v, 0.025::DOUBLE), 6) AS low, round(quantile_cont(v, 0.5::DOUBLE), 6) AS mid, round(quantile_cont(v, 0.975::DOUBLE), 6) AS high, round(least(1, 2 * least(avg((v <= 0)::INT), avg((v >= 0)::INT))), 6) AS p_value FROM v""")
+def incremental_level_interval(spark, sf_dir):
+    """The level's gain over whole segments drawn with replacement: interval, and two-sided p."""
+    rows = _table(spark, sf_dir)
+    both = [_logistic(rows, f).select("id", F.round("probability", 12).alias(name)) for name, f in (("with_level", FEATURES), ("without_level", FEATURES[1:]))]
+    met = saved(rows.select("id", F.concat_ws("_", "channel", "segment").alias("g"), (F.col("label") == 1).alias("pos")).join(both[0], "id").join(both[1], "id"))
+    reps = saved(resampling.contrast(met, alarms.cluster_weights(met.select("g"), "g", REPS, "level-gain"), ["g"], "with_level", "without_level", "pos"))
+    d = F.col("difference")
+    p = reps.agg(F.least(F.lit(1.0), 2 * F.least(F.avg((d <= 0).cast("double")), F.avg((d >= 0).cast("double")))).alias("p_value"))
+    return resampling.interval(reps, [], "difference").crossJoin(F.broadcast(p))
+
+
 @query(f"""WITH {SCALED_SQL},
 d AS (SELECT a.id, a.label AS own, b.label, row_number() OVER (PARTITION BY a.id ORDER BY (b.level - a.level) * (b.level - a.level) + (b.diff - a.diff) * (b.diff - a.diff) + (b.diff2 - a.diff2) * (b.diff2 - a.diff2), b.id) AS place FROM z a JOIN z b ON a.part = b.part AND a.held AND NOT b.held)
 SELECT id, round(avg(label::DOUBLE), 6) AS probability FROM d WHERE place <= 15 GROUP BY id""")

@@ -327,3 +327,34 @@ def dl_meta_by_feature(spark, sf_dir):
     summary = _summary(spark, sf_dir, _draws(spark, sf_dir)).where("tier IN ('high', 'medium')")
     rows = summary.select("channel", F.expr(f"stack(3, {', '.join(f'''{chr(39)}{s}{chr(39)}, {s}_size''' for s in SERIES)}) AS (feature, x)"))
     return meta.pooled(meta.effect_variance(rows, ["feature", "channel"], "x"), ["feature"]).where("k >= 2")
+
+
+def _left_out_sql(back: str) -> str:
+    """Pooling of st by feature, with each channel left out and with none, and what that changes; back takes the pooled scale to the reported one."""
+    pooled = _pooled_sql("lo", "fe").replace("round(mu, 6) AS mu", "mu").replace("round(mu - 1.96 * se, 6) AS low", "mu - 1.96 * se AS low").replace("round(mu + 1.96 * se, 6) AS high", "mu + 1.96 * se AS high")
+    values = ", ".join(f"round({back.format(f'p.{c}')}, 6) AS {n}" for c, n in (("mu", "pooled"), ("low", "low"), ("high", "high")))
+    return f"""ex AS (SELECT DISTINCT feature, channel AS excluded FROM st UNION SELECT DISTINCT feature, '(none)' FROM st), lo AS (SELECT s.feature || '/' || e.excluded AS fe, s.channel, yi, vi FROM st s JOIN ex e ON s.feature = e.feature AND s.channel <> e.excluded),
+po AS (WITH {pooled}), pf AS (SELECT split_part(fe, '/', 1) AS feature, split_part(fe, '/', 2) AS excluded, * EXCLUDE (fe) FROM po)
+SELECT p.feature, p.excluded, p.k, {values}, p.tau2, p.p_value, p.i2, round({back.format('p.mu')} - {back.format('w.mu')}, 6) AS shift, round(w.i2 - p.i2, 6) AS i2_drop FROM pf p JOIN pf w ON p.feature = w.feature AND w.excluded = '(none)'"""
+
+
+def _left_out(studies_: DataFrame, back) -> DataFrame:
+    rows = meta.left_out(studies_, ["feature"], "channel").where("k >= 2").withColumn("i2", F.round("i2", 6))
+    whole = rows.where("excluded = '(none)'").select("feature", F.col("mu").alias("mu_w"), F.col("i2").alias("i2_w"))
+    values = [back(F.col(c)).alias(n) for c, n in (("mu", "pooled"), ("low", "low"), ("high", "high"))]
+    return rows.join(whole, "feature").select("feature", "excluded", "k", *values, "tau2", "p_value", "i2", (back(F.col("mu")) - back(F.col("mu_w"))).alias("shift"), (F.col("i2_w") - F.col("i2")).alias("i2_drop"))
+
+
+@query(f"""{SUMMARY_SQL}, sh AS ({' UNION ALL '.join(f'''SELECT channel, '{s}' AS feature, {s}_size AS x FROM su WHERE tier IN ('high', 'medium') AND {s}_size IS NOT NULL''' for s in SERIES)}), {STUDY_TABLE_SQL}, {_left_out_sql('{}')}""")
+def loo_by_feature(spark, sf_dir):
+    """Absolute effects at drawn onsets pooled without each channel, by feature, and what its absence changes."""
+    summary = _summary(spark, sf_dir, _draws(spark, sf_dir)).where("tier IN ('high', 'medium')")
+    rows = summary.select("channel", F.expr(f"stack(3, {', '.join(f'''{chr(39)}{s}{chr(39)}, {s}_size''' for s in SERIES)}) AS (feature, x)"))
+    return _left_out(meta.effect_variance(rows, ["feature", "channel"], "x"), lambda x: x)
+
+
+@query(f"{SHARE_SQL}, {STUDY_TABLE_SQL}, {_left_out_sql(_BACK)}")
+def loo_fraction(spark, sf_dir):
+    """Shares of significant draws pooled without each channel, by feature, on the shares' own scale."""
+    rows = _shares(spark, sf_dir).withColumn("x", meta.arcsine(F.col("share")))
+    return _left_out(meta.effect_variance(rows, ["feature", "channel"], "x"), meta.from_arcsine)

@@ -46,9 +46,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Each stage's are written to the folder that driver and executors share, and read again; only the last's stay there.
 
-    A null text has no letters and goes in the first stage, as an empty or letterless one does. Rows with a null doc_id stay
-    as far as their text does; repeated rows are near copies of each other. An empty table gives no rows. Columns beside those
-    of documents are carried up to the last stage.
+    A null text has no letters and goes in the first stage, as an empty or letterless one does. Rows with a null doc_id are
+    documents as any other; unlike texts of one doc_id are different documents, and both stay; repeated rows are near copies of
+    each other. Texts are taken whole, however long. An empty table gives no rows. Columns beside those of documents are carried up
+    to the last stage.
     """
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = common.table(spark, sf_dir, "documents"), None

@@ -60,11 +60,11 @@ def test_run_returns_the_ids_of_the_last_texts(spark):
 
 
 def test_run_on_awkward_and_empty_tables(spark, tmp_path):
-    rows = [(1, "one two three four five six seven", "en", "s", 33), (1, "one two three four five six seven", "en", "s", 33), (2, "", "en", "s", 0), (3, None, None, None, None), (None, "no id but mail a@b.co", "en", "s", 21), (4, "123 456", "en", "s", 7)]
+    rows = [(1, "one two three four five six seven", "en", "s", 33), (1, "one two three four five six seven", "en", "s", 33), (1, "an unlike text under the same id stays", "en", "s", 38), (2, "", "en", "s", 0), (3, None, None, None, None), (None, "no id but mail a@b.co", "en", "s", 21), (4, "123 456", "en", "s", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     bench = spark.createDataFrame([("x", "nothing of these words is anywhere else at all today")], "item_id string, text string")
     for name, part in (("some", docs), ("none", docs.where("false"))):
         part.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
-    assert sorted(r.doc_id or 0 for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()) == [0, 1]
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect()) == [0, 1, 1]
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -95,7 +95,9 @@ def stability(rows: DataFrame, features: list[str], replicates: int = REPLICATES
         found = [("forest", importance(rng, lambda v: trees.margins(grown, v, True), bins, label, n)), ("logistic", importance(rng, logistic(means, label, n), means, label, n))]
         return pa.table([[name for name, _ in found], [rep] * 2, *[[float(v[k]) for _, v in found] for k in range(len(features))]], schema=schema)
 
-    dealt = counted.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    # few bytes a replicate, but much work: a fixed number of tasks, which isn't made smaller by their size
+    tasks = min(replicates, 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    dealt = counted.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).repartition(tasks, "rep")
     return dealt.groupBy("rep").applyInArrow(run, "model string, rep int, " + ", ".join(f"{x} double" for x in features))
 
 

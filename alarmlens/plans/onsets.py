@@ -10,6 +10,7 @@ from alarmlens.functions.random import uniform_sql
 from alarmlens.operators import bocpd, effects, inference, meta, onsets, studies
 from alarmlens.operators.catalogue import MW_COLUMNS, SR_COLUMNS, _lv, _pooled_sql, query, rank_sum_sql, signed_rank_sql, welch_table_sql
 from alarmlens.plans.detection import DETECT_SQL, found
+from alarmlens.sources.shared import saved
 from alarmlens.sources.telemetry import from_events
 
 SERIES = onsets.SERIES
@@ -339,7 +340,7 @@ SELECT p.feature, p.excluded, p.k, {values}, p.tau2, p.p_value, p.i2, round({bac
 
 
 def _left_out(studies_: DataFrame, back) -> DataFrame:
-    rows = meta.left_out(studies_, ["feature"], "channel").where("k >= 2").withColumn("i2", F.round("i2", 6))
+    rows = saved(meta.left_out(saved(studies_), ["feature"], "channel").where("k >= 2").withColumn("i2", F.round("i2", 6)))
     whole = rows.where("excluded = '(none)'").select("feature", F.col("mu").alias("mu_w"), F.col("i2").alias("i2_w"))
     values = [back(F.col(c)).alias(n) for c, n in (("mu", "pooled"), ("low", "low"), ("high", "high"))]
     return rows.join(whole, "feature").select("feature", "excluded", "k", *values, "tau2", "p_value", "i2", (back(F.col("mu")) - back(F.col("mu_w"))).alias("shift"), (F.col("i2_w") - F.col("i2")).alias("i2_drop"))

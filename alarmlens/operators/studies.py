@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alarmlens.operators import effects
+from alarmlens.operators import alarms, effects
 from alarmlens.operators.running import running
 from alarmlens.sources.telemetry import differences
 
@@ -69,6 +69,43 @@ def precedence(crossings: DataFrame) -> DataFrame:
     return sums.select("channel", "n_pairs", "n_before", "n_tied", F.try_divide(b.cast("double"), n - t).alias("excluded"), ((b + t / 2) / n).alias("half"), ((b + t) / n).alias("diff_first"))
 
 
+#: How a tie of the two crossings counts: not at all, as half a precedence, or as a whole one.
+CONVENTIONS = ("excluded", "half", "diff_first")
+
+
+def precedence_increments(pairs: DataFrame, cluster: str, replicates: int, stream: str) -> DataFrame:
+    """Shares of pairs in which diff crosses first, of anomalous rows, of normal ones and their difference, under each convention of ties.
+
+    pairs has a row for each pair (cluster, anomaly, level_cross, diff_cross). Intervals come from clusters drawn with
+    replacement: replicates weigh counts by cluster and side, so they don't repeat pairs, and both sides share each draw.
+    p_boot is twice the smaller share of increments on either side of 0. A side without pairs has no share.
+    """
+    before, tied = F.col("diff_cross") < F.col("level_cross"), F.col("diff_cross") == F.col("level_cross")
+    counts = pairs.where("level_cross IS NOT NULL AND diff_cross IS NOT NULL").groupBy(cluster).agg(
+        *[f.alias(f"{n}{side}") for side in (0, 1) for n, f in (("n", F.count_if(F.col("anomaly") == side)), ("b", F.count_if((F.col("anomaly") == side) & before)), ("t", F.count_if((F.col("anomaly") == side) & tied)))]
+    )
+    weights = alarms.cluster_weights(counts.select(cluster), cluster, replicates, stream)
+    seen = counts.select(F.lit(0).cast("long").alias("rep"), cluster, F.lit(1.0).alias("weight"))
+    sums = counts.join(weights.unionByName(seen), cluster).groupBy("rep").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("n0", "b0", "t0", "n1", "b1", "t1")])
+
+    def share(convention: str, side: int):
+        n, b, t = (F.col(f"{c}{side}") for c in "nbt")
+        top, bottom = {"excluded": (b, n - t), "half": (b + t / 2, n), "diff_first": (b + t, n)}[convention]
+        return F.try_divide(top, bottom)
+
+    shares = sums.select("rep", *[share(c, side).alias(f"{c}{side}") for c in CONVENTIONS for side in (0, 1)])
+    cells = [F.struct(F.lit(c).alias("ties"), F.lit(q).alias("quantity"), v.alias("v")) for c in CONVENTIONS for q, v in (("anomalous", F.col(f"{c}1")), ("normal", F.col(f"{c}0")), ("increment", F.col(f"{c}1") - F.col(f"{c}0")))]
+    long = shares.select("rep", F.inline(F.array(*cells)))
+    drawn, v = F.col("rep") > 0, F.col("v")
+    of_draws = F.when(drawn, v)
+    cut = long.groupBy("ties", "quantity").agg(
+        F.max(F.when(~drawn, v)).alias("share"), F.count(of_draws).alias("n_replicates"), F.percentile(of_draws, F.array(F.lit(0.025), F.lit(0.975))).alias("x"),
+        F.count_if(drawn & (v <= 0)).alias("low_side"), F.count_if(drawn & (v >= 0)).alias("high_side"),
+    )
+    p_boot = F.when(F.col("quantity") == "increment", F.least(F.lit(1.0), F.try_divide(2.0 * F.least("low_side", "high_side"), F.col("n_replicates"))))
+    return cut.select("ties", "quantity", "share", "n_replicates", F.col("x")[0].alias("low"), F.col("x")[1].alias("high"), p_boot.alias("p_boot"))
+
+
 def operating_points(scores: DataFrame, limits: tuple = (2.0, 3.0, 4.0)) -> DataFrame:
     """Shares of normal and anomalous rows whose peak |z| exceeds fixed limits, by series."""
     long = scores.select("anomaly", F.expr("stack(3, 'level', level_peak, 'diff', diff_peak, 'diff2', diff2_peak) AS (feature, peak)")).where("peak IS NOT NULL")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from alarmlens.functions.random import uniform_sql
 from alarmlens.operators import effects, inference, studies
 from alarmlens.operators.catalogue import EFFECT_SQL, LABELLED_SQL, MW_COLUMNS, NOMINAL_SQL, ORACLES, PIVOT_SQL, QUERIES, TELEMETRY_SQL, Z_SQL, _effects, _labelled, _lv, _peaks, query, rank_sum_sql
 from alarmlens.sources.telemetry import from_events
 
+#: Replicates of the tie audit's intervals.
+TIE_REPLICATES = 2000
+
 CROSS_SQL = f"""{Z_SQL}, cr AS (SELECT channel, segment, pivot_t, max(seg_anomaly) AS anomaly, min(t - pivot_t) FILTER (level_z > 3) AS level_cross, min(t - pivot_t) FILTER (diff_z > 3) AS diff_cross FROM zs WHERE post GROUP BY channel, segment, pivot_t)"""
 
 
@@ -57,6 +61,33 @@ def tie_audit(spark, sf_dir):
     return studies.precedence(effects.crossing_times(rows, effects.pivots(rows)))
 
 
+def _shares_sql(side: int) -> str:
+    n, b, t = (f"{c}{side}" for c in "nbt")
+    return f"{b} / nullif({n} - {t}, 0) AS excluded{side}, ({b} + {t} / 2) / nullif({n}, 0) AS half{side}, ({b} + {t}) / nullif({n}, 0) AS diff_first{side}"
+
+
+def _increments_sql(pairs: str, cluster: str, replicates: int, stream: str) -> str:
+    counted = ", ".join(f"count(*) FILTER (anomaly = {a}{x}) AS {c}{a}" for a in (0, 1) for c, x in (("n", ""), ("b", " AND diff_cross < level_cross"), ("t", " AND diff_cross = level_cross")))
+    cells = " UNION ALL ".join(f"SELECT rep, '{c}' AS ties, '{q}' AS quantity, {v} AS v FROM sh" for c in studies.CONVENTIONS for q, v in (("anomalous", f"{c}1"), ("normal", f"{c}0"), ("increment", f"{c}1 - {c}0")))
+    return f"""ct AS (SELECT {cluster}, {counted} FROM {pairs} WHERE level_cross IS NOT NULL AND diff_cross IS NOT NULL GROUP BY {cluster}),
+cl AS (SELECT {cluster}, row_number() OVER (ORDER BY {cluster}) - 1 AS i, count(*) OVER () AS k FROM ct),
+dr AS (SELECT rep, CAST(floor({uniform_sql(stream, 'rep', 'draw')} * k) AS BIGINT) AS i FROM (SELECT DISTINCT k FROM cl), range(1, {replicates} + 1) r(rep), range(1, 1000) q(draw) WHERE draw <= k),
+we AS (SELECT rep, {cluster}, count(*)::DOUBLE AS w FROM dr JOIN cl USING (i) GROUP BY rep, {cluster} UNION ALL SELECT 0, {cluster}, 1 FROM cl),
+su AS (SELECT rep, {", ".join(f"sum({c} * w) AS {c}" for c in ("n0", "b0", "t0", "n1", "b1", "t1"))} FROM ct JOIN we USING ({cluster}) GROUP BY rep),
+sh AS (SELECT rep, {_shares_sql(0)}, {_shares_sql(1)} FROM su), lo AS ({cells})
+SELECT ties, quantity, round(max(v) FILTER (rep = 0), 6) AS share, count(v) FILTER (rep > 0) AS n_replicates, round(quantile_cont(v, 0.025::DOUBLE) FILTER (rep > 0), 6) AS low, round(quantile_cont(v, 0.975::DOUBLE) FILTER (rep > 0), 6) AS high,
+ round(CASE WHEN quantity = 'increment' THEN least(1.0::DOUBLE, 2.0::DOUBLE * least(count(*) FILTER (rep > 0 AND v <= 0), count(*) FILTER (rep > 0 AND v >= 0)) / nullif(count(v) FILTER (rep > 0), 0)) END, 6) AS p_boot FROM lo GROUP BY ties, quantity"""
+
+
+@query(f"WITH {CROSS_SQL}, {_increments_sql('cr', 'channel', TIE_REPLICATES, 'ties')}")
+def tie_audit_intervals(spark, sf_dir):
+    """Increments of diff's precedence, anomalous over normal, with channels drawn with replacement."""
+    rows = from_events(spark, sf_dir)
+    points = effects.pivots(rows)
+    pairs = effects.crossing_times(rows, points).join(points.select("channel", "segment", "anomaly"), ["channel", "segment"])
+    return studies.precedence_increments(pairs, "channel", TIE_REPLICATES, "ties")
+
+
 @query(f"""WITH {Z_SQL}, l AS (SELECT 'level' AS feature, anomaly, level_peak AS peak FROM peaks UNION ALL SELECT 'diff', anomaly, diff_peak FROM peaks UNION ALL SELECT 'diff2', anomaly, diff2_peak FROM peaks),
 x AS (SELECT feature, anomaly, peak, z_limit FROM l, (VALUES (2.0::DOUBLE), (3.0::DOUBLE), (4.0::DOUBLE)) v(z_limit) WHERE peak IS NOT NULL)
 SELECT feature, round(z_limit, 6) AS z_limit, round(count(*) FILTER (anomaly = 0 AND peak > z_limit)::DOUBLE / nullif(count(*) FILTER (anomaly = 0), 0), 6) AS false_alarm_rate,

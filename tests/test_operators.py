@@ -176,3 +176,21 @@ def test_sign_flips_count_all_flips(spark, k):
         sums = np.concatenate([sums + v, sums - v])
     got = alarms.sign_flips(spark.createDataFrame([(float(v),) for v in x], "v double"), "v").first()
     assert got.n_flips == 2**k and got.p_value == pytest.approx(np.mean(np.abs(sums) >= abs(x.sum()) - 1e-9))
+
+
+def test_precedence_increments_count_ties_three_ways(spark):
+    from alarmlens.operators import studies
+
+    pairs = [("a", 1, 5, 3), ("a", 1, 4, 4), ("a", 0, 3, 5), ("b", 1, 6, 2), ("b", 0, 2, 2), ("b", 0, 7, 1), ("b", 0, None, 1), ("c", 1, None, None)]
+    rows = spark.createDataFrame(pairs, "channel string, anomaly int, level_cross long, diff_cross long")
+    got = {(r.ties, r.quantity): r for r in studies.precedence_increments(rows, "channel", 40, "t").collect()}
+    assert {k: r.share for k, r in got.items() if k[1] != "increment"} == {
+        ("excluded", "anomalous"): 1, ("half", "anomalous"): pytest.approx(2.5 / 3), ("diff_first", "anomalous"): 1,
+        ("excluded", "normal"): 0.5, ("half", "normal"): 0.5, ("diff_first", "normal"): pytest.approx(2 / 3),
+    }
+    for ties in studies.CONVENTIONS:
+        r = got[ties, "increment"]
+        assert r.share == pytest.approx(got[ties, "anomalous"].share - got[ties, "normal"].share) and r.low <= r.share <= r.high and 0 <= r.p_boot <= 1
+    one = {(r.ties, r.quantity): r for r in studies.precedence_increments(rows.where("anomaly = 1"), "channel", 40, "t").collect()}
+    assert one["half", "increment"].share is None and one["half", "increment"].n_replicates == 0 and one["half", "anomalous"].n_replicates > 0
+    assert studies.precedence_increments(rows.where("false"), "channel", 40, "t").count() == 0

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -128,6 +128,11 @@ def candidates(rows: DataFrame) -> DataFrame:
     return by_range.mapInArrow(run, rows.schema)
 
 
+def row_name(long_enough: Column) -> Column:
+    """What a row (doc_id, text) goes by: a hash of both, or any number where the text is missing or too short to have spans."""
+    return F.when(long_enough, F.xxhash64("doc_id", "text")).otherwise(F.monotonically_increasing_id())
+
+
 def placed(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs (doc, text) that have candidates, with these (at: key, anchor, before, n); their number is bounded by the text's length."""
     at = found.groupBy("doc").agg(F.collect_set(F.struct("key", "anchor", "before", "n")).alias("at"))

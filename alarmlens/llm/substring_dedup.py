@@ -62,9 +62,10 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A null or empty text has no words. A null doc_id is neither smaller nor larger than another: its row keeps all words, and
     takes none from others. Rows that repeat a doc_id take nothing from each other, and each is judged by its own text against
-    the smaller ids. Only doc_id and text are read.
+    the smaller ids. A text too short for a window goes by a number of its own, so that such rows don't meet in one task; one of any
+    length is one row, held by one task with its spans. Only doc_id and text are read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", repeats.row_name(F.octet_length("text") >= 2 * window - 1))
     known = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "doc", "text")
     return rows.join(removal_spans(known, window).hint("merge"), "doc", "left").drop("doc")
 

@@ -5,7 +5,8 @@ wherever it occurs. Suffixes are dealt by their first bytes. Within such a group
 depth, and blind tries order what still shares a long prefix; the reversed texts before the anchors are sorted likewise. All
 removed bytes follow from the common prefixes of neighbours in these two orders: groups of suffixes grow as the prefix that
 they share shrinks, and the neighbours by left side inside a growing group give the longest string that each one shares.
-A context (what the anchor's windows span) that several places of a task have goes to the sort once, with their number.
+A context (what the anchor's windows span) that several places of a task have stands in the order twice, since two stand for any
+number of equals: each is the other's neighbour, and what they share is found as between any two.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SHALLOW = 8
 MOST_GROUP = 1 << 16
 #: Bytes of different contexts that a task holds to send each of them once.
 MOST_HELD = 32 << 20
+#: Keys of large groups that are sent to all tasks; more of them are joined by a shuffle.
+MOST_SENT = 1 << 20
 CONTEXT = "key long, h long, context binary, before int, places long, doc long, anchor int"
 FOUND = "key long, h long, left int, right int, places long"
 
@@ -234,11 +237,10 @@ def sorted_groups(different: DataFrame, length: int, gram: int) -> DataFrame:
 
         def finish():
             if len(members) > 1 or members and members[0][3] > 1:
-                reach = shared_lengths([m[1] for m in members], [m[2] for m in members], length, gram)
+                twice = members + [m for m in members if m[3] > 1]
+                reach = shared_lengths([m[1] for m in twice], [m[2] for m in twice], length, gram)
                 best: dict[int, list[int]] = {}
-                for (h, context, before, places), (left, right) in zip(members, reach):
-                    if places > 1:  # a task's combined neighbours are equal to their ends
-                        left, right = before, len(context) - before
+                for (h, _, _, places), (left, right) in zip(members, reach):
                     seen = best.setdefault(h, [0, 0, 0])
                     seen[:] = max(seen[0], left), max(seen[1], right), seen[2] + places
                 made.extend((key, h, *x) for h, x in best.items() if x[1])
@@ -292,13 +294,15 @@ def reaches(different: DataFrame, length: int, gram: int, most_group: int, width
     if not widths or not large.take(1):
         common.dropped(large)
         return sorted_groups(different, length, gram)
-    # at most one key in most_group rows
-    small = different.join(F.broadcast(large), "key", "left_anti")
-    parts = common.saved(dealt_on(different.join(F.broadcast(large), "key", "left_semi"), length, widths[0]))
+    keys = F.broadcast(large) if large.count() <= MOST_SENT else large.hint("merge")
+    small = different.join(keys, "key", "left_anti")
+    parts = common.saved(dealt_on(different.join(keys, "key", "left_semi"), length, widths[0]))
     once = parts.groupBy("key", "h").agg(F.first("context").alias("context"), F.first("before").alias("before"), F.sum("places").alias("places"))
     found = reaches(common.saved(once), length, length + 1 - widths[0], most_group, widths[1:])
     origin = parts.select("key", "h", "of_key", "of_h", "shift", F.col("places").alias("own")).join(found.drop("places"), ["key", "h"])
-    whole = origin.groupBy(F.col("of_key").alias("key"), F.col("of_h").alias("h")).agg(F.max(F.col("left") - F.col("shift")).cast("int").alias("left"), F.max(F.col("right") + F.col("shift")).cast("int").alias("right"), F.max("own").alias("places"))
+    # tasks met a context's places each for itself: their sum, which is the same for each of its parts
+    part = origin.groupBy(F.col("of_key").alias("key"), F.col("of_h").alias("h"), "shift").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.sum("own").alias("places"))
+    whole = part.groupBy("key", "h").agg(F.max(F.col("left") - F.col("shift")).cast("int").alias("left"), F.max(F.col("right") + F.col("shift")).cast("int").alias("right"), F.max("places").alias("places"))
     return sorted_groups(small, length, gram).unionByName(whole)
 
 
@@ -321,11 +325,12 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, text, and spans of bytes to remove (null: none).
 
     A null or empty text has no bytes. Rows repeat each other like any documents: of two rows with equal texts of length bytes
-    or more, all bytes go. Null and repeated doc_ids are ids like any other: inside, a row goes by the hash of its id and text.
-    Only doc_id and text are read.
+    or more, all bytes go. Null and repeated doc_ids are ids like any other: inside, a row goes by the hash of its id and text,
+    and one too short to lose anything by a number of its own, so that such rows don't meet in one task. A text of any length is
+    one row, held by one task with its spans. Only doc_id and text are read.
     """
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = numbered.withColumn("doc", F.xxhash64("doc_id", "text"))
+    rows = numbered.withColumn("doc", repeats.row_name(F.octet_length("text") >= length))
     return rows.join(removal_spans(rows.select("doc", "text"), length).hint("merge"), "doc", "left").drop("doc")
 
 

@@ -514,6 +514,21 @@ def test_all_removed_bytes_come_from_sorted_neighbours():
         assert [left, right] == want
 
 
+def test_repeated_contexts_are_sorted_too(spark):
+    """What a context with several places loses is what the sort finds between its two entries."""
+    rng = np.random.default_rng(6)
+    letters = lambda n: bytes(rng.choice(list(b"abcd "), n).tolist())
+    base, other = letters(300), letters(300)
+    members = [(1, base, 60, 3), (2, base[:60] + base[60:240] + letters(60), 60, 1), (3, other, 60, 1)]
+    reach = suffix_dedup.shared_lengths([m[1] for m in members + members[:1]], [60] * 4, 200, 48)
+    assert reach[0] == reach[3] == (60, 240) and reach[1][0] == 60 and reach[1][1] >= 180 and reach[2] == (0, 0)
+    schema = "key long, h long, context binary, before int, places long"
+    rows = spark.createDataFrame([(7, *m) for m in members], schema)
+    assert sorted((r.h, r.left, r.right, r.places) for r in suffix_dedup.sorted_groups(rows, 200, 48).collect()) == [(1, 60, 240, 3), (2, *reach[1], 1)]
+    alone = spark.createDataFrame([(7, *members[0]), (8, *members[2])], schema)
+    assert [(r.h, r.left, r.right, r.places) for r in suffix_dedup.sorted_groups(alone, 200, 48).collect()] == [(1, 60, 240, 3)]
+
+
 def test_suffix_dedup_query_equals_brute_force(spark):
     rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     texts = [(r.text or "").encode() for r in rows]

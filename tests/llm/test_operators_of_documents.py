@@ -77,11 +77,44 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty, VOCABULARY).count() == 0
 
 
+def library_count(text):
+    return len(Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids)
+
+
+def test_byte_transducer_splits_as_the_library(docs):
+    count, library = token_counts.counter(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list(letters), rng.integers(0, 40))) for letters in ("'srvelmdt", "'sRe1 \"", "ab' .1\n", "the'll-09 ", "<|>startofex ") for _ in range(300)]
+    texts += ["<|startoftext|>", "a<|endoftext|>b c", "it''s 'rex 'vest 'lad ''ll 'l 'r", "don't WE'LL i'm 'Re", "x\x00y \x7f", "", " ", "'"]
+    assert [count.scan(t.encode()) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_chunks_compose(docs):
     count = token_counts.counter(VOCABULARY)
-    text = (ROWS[11][1] + " " + ROWS[0][1] + "\n\n" + "unbroken" * 20).encode()
-    whole = token_counts.scan(text, count)
-    assert all(token_counts.scan(text, count, size) == whole for size in range(1, 40))
+    for text in (ROWS[11][1] + " " + ROWS[0][1] + "\n\n" + "unbroken" * 20, "can't'll" * 30 + "é ü" + "x" * 99, "a<|endoftext|>b c<|" * 3, "ab" * 150, "ünbroken" * 30):
+        raw, whole = text.encode(), library_count(text)
+        assert all(count.scan(raw, size) == whole for size in range(1, 40))
+        for size in (1, 7, 30):
+            maps = [count.from_row(*count.to_row(count.chunk(raw[at : at + size], raw[max(0, at - 5) : at]))) for at in range(0, len(raw), size)]
+            left = right = maps[0]
+            for c in maps[1:]:
+                left = count.compose(left, c)
+            right = maps[-1]
+            for c in maps[-2::-1]:
+                right = count.compose(c, right)
+            assert count.total(left) == count.total(right) == whole
+
+
+def test_long_texts_are_dealt_over_tasks(spark, docs):
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"))
+    long = ["".join(rng.choice(letters, 5 << 20)), "ab" * 70_000, "".join(rng.choice(list("abc de'st\n"), 200_000)), "naïve words " * 9_000 + "é" * 1_000, "z" * 100_000]
+    rows = [(i, t) for i, t, *_ in ROWS] + [(None, long[1]), (1, long[1])] + list(enumerate(long))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    library = Tokenizer.from_file(VOCABULARY)
+    want = sorted([(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in rows], key=repr)
+    for dealt in (1 << 16, token_counts.DEALT_BYTES):
+        assert by_id(token_counts.token_counts(df, VOCABULARY, dealt=dealt), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
 
 
 def test_packing(docs, empty):

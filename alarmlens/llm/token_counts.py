@@ -1,7 +1,7 @@
 """Token counts by a compiled tokenizer (operator 9).
 
 The vocabulary and the split pattern are compiled, on demand, into one deterministic transducer over bytes, whose transitions
-carry the number of tokens that they emit (byte_transducer). A text is cut into chunks. A chunk is a map from the state at its
+carry the number of tokens that they emit (byte_transducer); what a whole word emits is remembered. A text is cut into chunks. A chunk is a map from the state at its
 start to the state at its end and the tokens between: white space leads every state to the same one, so the map is held as the
 bytes before the first white space, which are read from whatever state comes in, and what follows, which is known. A chunk
 without white space is read from the state that the bytes before it suggest, and again only if another state comes in. Maps
@@ -62,25 +62,20 @@ class Counter:
         self.nothing = Chunk(b"", None, None, 0, 0, b"", self.machine.start, 0)
 
     def word(self, word: bytes) -> int:
-        """A word that isn't plain, by the library's normaliser and splitter."""
-        return self.memo[word] if len(word) <= MEMO_BYTES else self.encoder.count(word)
+        """A whole word: from white space to white space, so the composed transition needs no state to be remembered by."""
+        if len(word) <= MEMO_BYTES:
+            return self.memo[word]
+        if not self.plain(word):
+            return self.encoder.count(word)
+        state, n = self.machine.read(self.machine.start, word)
+        return n + state.close
 
     @staticmethod
     def plain(text: bytes) -> bool:
         return not text.translate(None, PLAIN) and MARK not in text
 
     def words(self, text: bytes) -> int:
-        """Tokens of whole words."""
-        if self.plain(text):
-            state, n = self.machine.read(self.machine.start, text)
-            return n + state.close
-        plain, n = [], 0
-        for word in text.split():
-            if self.plain(word):
-                plain.append(word)
-            else:
-                n += self.word(word)
-        return n + (self.words(b" ".join(plain)) if plain else 0)
+        return sum(map(self.word, text.split()))
 
     def chunk(self, text: bytes, warm: bytes = b"") -> Chunk:
         """The map of a chunk; warm is what stands before it."""

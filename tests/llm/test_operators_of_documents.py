@@ -107,14 +107,15 @@ def test_chunks_compose(docs):
 
 def test_long_texts_are_dealt_over_tasks(spark, docs):
     rng = np.random.default_rng(8)
-    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"))
-    long = ["".join(rng.choice(letters, 5 << 20)), "ab" * 70_000, "".join(rng.choice(list("abc de'st\n"), 200_000)), "naïve words " * 9_000 + "é" * 1_000, "z" * 100_000]
+    unbroken = "".join(r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()).encode().translate(None, b" \t\n\r\x0b\x0c" + bytes(range(128, 256))).decode()
+    long = [(unbroken * (1 + (5 << 20) // len(unbroken)))[: 5 << 20], "ab" * 70_000, "".join(rng.choice(list("abc de'st\n"), 200_000)), "naïve words " * 9_000 + "é" * 1_000, "z" * 100_000]
     rows = [(i, t) for i, t, *_ in ROWS] + [(None, long[1]), (1, long[1])] + list(enumerate(long))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     library = Tokenizer.from_file(VOCABULARY)
     want = sorted([(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in rows], key=repr)
     for dealt in (1 << 16, token_counts.DEALT_BYTES):
         assert by_id(token_counts.token_counts(df, VOCABULARY, dealt=dealt), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    assert len(long[0]) == 5 << 20 and len(long[0].split()) == 1
 
 
 def test_packing(docs, empty):

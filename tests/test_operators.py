@@ -51,6 +51,38 @@ def test_run_lengths_sum_to_one_and_find_a_shift():
     assert found[82].argmax() <= 4 and found[79].argmax() > 5
 
 
+def test_long_run_lengths_are_one_group():
+    rng = np.random.default_rng(7)
+    values = np.concatenate([rng.normal(0, 1, 2500), np.repeat(rng.normal(0, 1, 20), 60), rng.normal(5, 2, 1300)])
+    apart = bocpd.Tables(True).up_to(8192)
+    assert apart.settled < 1500 and bocpd.Tables(False).up_to(8192).settled == np.inf
+    apart.settled = np.inf  # so nothing joins
+    grouped, plain, resets = bocpd.RunLengths(bocpd.Tables(True)), bocpd.RunLengths(apart), 0
+    for i, v in enumerate(values):
+        grouped.step(v), plain.step(v)
+        assert grouped.likeliest() == plain.p.argmax()
+        assert len(grouped.p) < 2600
+    assert len(plain.p) == len(values) + 1 == len(grouped.posterior()) and grouped.posterior() == pytest.approx(plain.p, rel=1e-9, abs=1e-15)
+
+
+def test_group_without_probability_takes_the_next_run_length():
+    lengths = bocpd.RunLengths(bocpd.Tables(True))
+    for v in np.random.default_rng(8).normal(0, 1, 2500):
+        lengths.step(v)
+    lengths.p[-1] = 0
+    lengths._join()
+    assert lengths.posterior().sum() == pytest.approx(lengths.p.sum()) and (lengths.posterior()[len(lengths.p) :] == 0).all()
+
+
+def test_detector_hands_on_long_posteriors_in_several_batches(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", s, t, float((t * 7919 + s) % 101)) for s in range(5) for t in range(40 + s)], "channel string, segment long, t long, value double")
+    params = spark.createDataFrame([("a", 1.0, 0.01)], "channel string, r double, q double")
+    want = sorted(bocpd.detect(rows, params, whole=True).collect())
+    monkeypatch.setattr(bocpd, "BATCH_CANDIDATES", 1)
+    assert [len(r.candidates) for r in want] == [26 + s for s in range(5)] and sorted(bocpd.detect(rows, params, whole=True).collect()) == want
+    assert all(r.candidates is None for r in bocpd.detect(rows, params).collect())
+
+
 def test_detector_finds_a_shift_after_a_quiet_run(spark):
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.normal(0, 1, 250), rng.normal(60, 1, 30)])

@@ -83,6 +83,31 @@ def test_detector_hands_on_long_posteriors_in_several_batches(spark, monkeypatch
     assert all(r.candidates is None for r in bocpd.detect(rows, params).collect())
 
 
+def test_draws_meet_candidates_from_one_pass(spark):
+    from alarmlens.operators import onsets
+
+    p = np.random.default_rng(9).dirichlet(np.ones(3000))
+    found = spark.createDataFrame([("a", 1, [(10 + i, float(x)) for i, x in enumerate(p)])], "channel string, segment long, candidates array<struct<onset:long,p:double>>")
+    draws = onsets.drawn(found)
+    rows = draws.withColumn("u", onsets.uniform("mc", "channel", "segment", "draw")).collect()
+    assert len(rows) == 200 and all(r.onset == 10 + min(np.searchsorted(np.cumsum(p), r.u), 2999) for r in rows)
+    assert "currentrow$(), unboundedfollowing$()" not in draws._jdf.queryExecution().toString().lower()  # a frame that costs a pass for each row
+
+
+def test_many_pivots_are_tested_from_pieces(spark):
+    from alarmlens.operators import effects
+
+    rng = np.random.default_rng(11)
+    values = {s: [None if rng.random() < 0.05 else float(v) for v in 1e4 + rng.normal(0, 1, 60)] for s in range(3)}
+    rows = spark.createDataFrame([("a", s, t, v) for s, x in values.items() for t, v in enumerate(x)], "channel string, segment long, t long, value double")
+    points = spark.createDataFrame([("a", s, t) for s in (0, 1) for t in (3, 5, 6, 9, 17, 30, 31, 54, 58, 59, 80)], "channel string, segment long, pivot_t long")
+    want = {(r.segment, r.pivot_t): r for r in effects.welch(rows, points.withColumn("skip_reason", F.lit(""))).collect()}
+    got = {(r.segment, r.pivot_t): r for r in effects.welch_many(rows, points).collect()}
+    assert set(got) == set(want) and len(got) == 22
+    for key, r in want.items():
+        assert [x is None for x in got[key]] == [x is None for x in r] and [x for x in got[key][3:] if x is not None] == pytest.approx([x for x in r[3:] if x is not None], rel=1e-7)
+
+
 def test_detector_finds_a_shift_after_a_quiet_run(spark):
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.normal(0, 1, 250), rng.normal(60, 1, 30)])

@@ -108,6 +108,31 @@ def test_many_pivots_are_tested_from_pieces(spark):
         assert [x is None for x in got[key]] == [x is None for x in r] and [x for x in got[key][3:] if x is not None] == pytest.approx([x for x in r[3:] if x is not None], rel=1e-7)
 
 
+def test_many_pivots_read_the_samples_once(spark):
+    from alarmlens.operators import effects
+
+    rows = spark.createDataFrame([("a", 1, t, float(t % 7)) for t in range(40)], "channel string, segment long, t long, value double")
+    points = spark.createDataFrame([("a", 1, 15), ("a", 1, 20)], "channel string, segment long, pivot_t long")
+    plan = effects.welch_many(rows, points)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("LogicalRDD" in line and "value#" in line for line in plan.splitlines()) == 1
+
+
+def test_summaries_of_segments_are_kept_for_pooling(spark):
+    from alarmlens.plans import onsets as plans
+
+    draws = spark.createDataFrame([], "channel string, segment long, draw long, onset long")
+    summary = plans._summary(spark, "/root/testdata/sf0.001", draws)
+    assert summary.storageLevel.useDisk
+    summary.unpersist()
+
+
+def test_strata_without_variance_have_no_p(spark):
+    from alarmlens.operators import inference
+
+    tables = spark.createDataFrame([(6, 0, 24, 0), (7, 0, 28, 0)], "a long, b long, c long, d long")
+    assert tuple(inference.mantel_haenszel(tables).first()) == (None, None, None)
+
+
 def test_detector_finds_a_shift_after_a_quiet_run(spark):
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.normal(0, 1, 250), rng.normal(60, 1, 30)])
